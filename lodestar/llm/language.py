@@ -23,9 +23,11 @@ MAX_SAMPLES = 20_000
 LEAST_WORDS = 8
 UNKNOWN = "und"
 #: Share of a centroid's lowest training cosine below which a sentence is rejected.
-RADIUS = 0.45
+RADIUS = 0.3
 #: Least distance to the best other language, as a share of the best cosine, for a sentence to count as evidence.
-MARGIN = 0.08
+MARGIN = 0.05
+#: Mean confidence that a passage in another than the main language needs to count as present.
+SURE = 0.2
 ROWS_A_BATCH = 256
 
 #: Names and codes of the languages, lower case.
@@ -195,7 +197,8 @@ def classify(documents: DataFrame, samples: DataFrame, id_column: str = "doc_id"
     """(id, lang_label, lang, confidence, segments) of every document.
 
     Evidence is a sentence of at least ``LEAST_WORDS`` words that is nearer to one language than to any other by ``MARGIN``; ``lang`` is the language with most words in such
-    sentences (ties: alphabetical). ``sentences`` of a segment counts them. A text without one is classified as a whole (one segment, 0 sentences).
+    sentences (ties: alphabetical). ``sentences`` of a segment counts them. If no sentence is sure, those of at least ``LEAST_WORDS`` words are judged together;
+    a text without such a sentence is classified as a whole (one segment, 0 sentences).
     Null texts, texts without letters and rejected ones give ``und``, confidence 0, no segments.
     ``start``/``stop`` are character offsets.
     """
@@ -233,16 +236,25 @@ def _classified(m: Centroids, batch: pa.RecordBatch, id_column: str, types: pa.D
     lang: list[dict] = [{} for _ in texts]
     conf: list[dict] = [{} for _ in texts]
     margin: list[dict] = [{} for _ in texts]
-    step = 2048
-    for a in range(0, len(jobs), step):
-        part = jobs[a : a + step]
-        for (d, i, _), name, c, g in zip(part, *m.best([t for _, _, t in part])):
-            lang[d][i], conf[d][i], margin[d][i] = name, float(c), float(g)
+
+
+    def judge(jobs: list[tuple[int, int, str]]) -> None:
+        for a in range(0, len(jobs), 2048):
+            part = jobs[a : a + 2048]
+            for (d, i, _), name, c, g in zip(part, *m.best([t for _, _, t in part])):
+                lang[d][i], conf[d][i], margin[d][i] = name, float(c), float(g)
+
+    judge(jobs)
+    # no sentence of a text is sure by itself: its sentences are judged together
+    unsure = [d for d in range(len(texts)) if lang[d] and -1 not in lang[d] and not any(n != UNKNOWN and margin[d][i] >= MARGIN for i, n in lang[d].items())]
+    judge([(d, -2, _clean(" ".join(texts[d][a:b] for i, (a, b) in enumerate(spans_of[d]) if i in lang[d]))) for d in unsure])
     out_lang, out_conf, out_segments = [], [], []
     for d, text in enumerate(texts):
-        if -1 in lang[d]:
-            name, c = lang[d][-1], conf[d][-1]
-            segs = [] if name == UNKNOWN else [{"start": 0, "stop": len(text), "lang": name, "confidence": c, "words": _words(text), "sentences": 0}]
+        together = -1 if -1 in lang[d] else -2
+        if together in lang[d]:
+            name, c = lang[d][together], conf[d][together]
+            n = len(words_of[d]) if together == -2 else 0
+            segs = [] if name == UNKNOWN else [{"start": 0, "stop": len(text), "lang": name, "confidence": c, "words": _words(text), "sentences": n}]
         else:
             segs = [s for s in _segments(text or "", spans_of[d], lang[d], conf[d], margin[d], words_of[d]) if s["lang"]]
             segs = [{**s, "confidence": s.pop("conf") / s["words"]} for s in segs]
@@ -264,7 +276,7 @@ def _classified(m: Centroids, batch: pa.RecordBatch, id_column: str, types: pa.D
 
 def label_faults(classified: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """(id, lang): every language present in a document whose label is missing, is not its main language, or whose text is in several."""
-    present = F.array_distinct(F.transform(F.filter("segments", lambda s: s["sentences"] > 0), lambda s: s["lang"]))
+    present = F.array_distinct(F.transform(F.filter("segments", lambda s: (s["sentences"] > 0) & ((s["lang"] == F.col("lang")) | (s["confidence"] >= SURE))), lambda s: s["lang"]))
     with_langs = classified.withColumn("_present", present).withColumn("_label", normal_label(F.col("lang_label")))
     faulty = F.col("_label").isNull() | (F.col("_label") != F.col("lang")) | (F.size("_present") > 1)
     return with_langs.filter(faulty).select(id_column, F.explode("_present").alias("lang"))

@@ -124,7 +124,8 @@ def mix(documents: DataFrame, mix_targets: DataFrame, seed: int = 17, vocabulary
 
 
 def shares(documents: DataFrame, mix_targets: DataFrame, seed: int = 17, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Per listed source: weight, cap, target and available tokens, tokens and uses in the mix, share reached, whether the cap bound it."""
+    """Per listed source: weight, cap, target and available tokens, tokens and uses in the mix, whether the cap bound it, the share reached of the mix
+    (null for an empty mix) and of the size to share out (all tokens of listed sources)."""
     drawn, plans, total = _uses(documents, mix_targets, seed, vocabulary)
     got = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("mix_tokens"), F.sum("uses").alias("uses"), F.max("uses").alias("most_uses"))
     table = documents.sparkSession.createDataFrame(
@@ -134,5 +135,5 @@ def shares(documents: DataFrame, mix_targets: DataFrame, seed: int = 17, vocabul
     both = table.join(got, "source", "left").fillna(0, ["mix_tokens", "uses", "most_uses"])
     everything = both.agg(F.sum("mix_tokens").alias("all_tokens"))
     return both.crossJoin(F.broadcast(everything)).select(
-        *both.columns, F.when(F.col("all_tokens") > 0, F.col("mix_tokens") / F.col("all_tokens")).alias("reached_share"), F.lit(total).alias("corpus_tokens")
+        *both.columns, F.when(F.col("all_tokens") > 0, F.col("mix_tokens") / F.col("all_tokens")).alias("reached_share"), F.lit(total).cast("long").alias("corpus_tokens"), (F.col("mix_tokens") / F.lit(float(max(total, 1)))).alias("share_of_corpus")
     )
