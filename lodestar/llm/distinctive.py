@@ -41,7 +41,8 @@ def residual_idf(occurrences: DataFrame, n_records: DataFrame, least_record_freq
     stats = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("parent_asin").alias("df"), F.max(F.when(F.col("parent_asin").isNotNull(), F.col("tf"))).alias("_most"))
     # a term none of whose records reaches the bounds can be left out of the join: an exact test, not a cap
     stats = stats.filter((F.col("_most") >= least_record_frequency) & (F.col("_most") >= F.lit(least_share) * F.col("cf")))
-    kept = tf.filter(F.col("parent_asin").isNotNull() & (F.col("tf") >= least_record_frequency))
+    # one condition on the count, so that it stays above the aggregation and both uses of ``tf`` share its exchange
+    kept = tf.filter(F.when(F.col("parent_asin").isNotNull(), F.col("tf")) >= least_record_frequency)
     joined = kept.join(stats.drop("_most"), "term").filter(F.col("tf") >= F.lit(least_share) * F.col("cf"))
     n = F.greatest(F.col("n"), F.col("df")).cast("double")
     observed = -F.log2(F.col("df") / n)
