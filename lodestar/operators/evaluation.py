@@ -69,8 +69,8 @@ def compare_systems(rows: DataFrame, systems: dict[str, Column]) -> DataFrame:
 
 
 def random_score(*ids: str) -> Column:
-    """Seeded pseudo-random score of a row from its ids: independent of partitioning, the same in any engine with 32-bit CRC."""
-    h = F.crc32(F.concat_ws("|", *ids).cast("binary"))
+    """Seeded pseudo-random score of a row from its ids: independent of partitioning, the same in any engine with MD5."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", *ids)), 1, 8), 16, 10).cast("long")
     return ((h * 1103515245 + 12345) % 2147483648) / F.lit(2147483648.0)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestar.config import ASPECTS, Settings
 from lodestar.functions import columns as C
 from lodestar.functions.ranking import join_percent_rank, with_positions
+from lodestar.session import cut_lineage
 
 DAY_MS = 86_400_000.0
 _MEASURES = {"sentiment": "sentiment_score", **{f"aspect_{a}": f"aspect_{a}" for a in ASPECTS}}
@@ -198,13 +199,14 @@ def product_table(meta: DataFrame, scored: DataFrame, settings: Settings | None
     s = settings or Settings()
     p = meta.join(review_aggregates(scored), "parent_asin", "left").join(temporal_windows(scored, s), "parent_asin", "left")
     p = p.join(sentiment.emotion_vocabulary(scored, s.lexicon), "parent_asin", "left")
-    p = price_tiers(listing_columns(p))
+    # every global threshold reads its table twice; the table is written once before, or plans would double at each step
+    p = cut_lineage(price_tiers(cut_lineage(listing_columns(p))))
     listing = F.trim(F.concat_ws(" ", F.coalesce("description", F.lit("")), F.coalesce("features", F.lit(""))))
     tone = sentiment.bag_score(F.when(listing != "", listing), s.lexicon) if desc_sentiment is None else desc_sentiment
-    p = reality_gap(p, tone, s.aspects)
-    p = category_signals(consensus_and_trends(p))
+    p = cut_lineage(reality_gap(p, tone, s.aspects))
+    p = cut_lineage(category_signals(cut_lineage(consensus_and_trends(p))))
     terms = tfidf.category_terms(p.select("parent_asin", "leaf_category"), scored, s.tfidf_max_features, s.tfidf_min_df)
-    p = dominant_emotion(best_and_worst_aspects(p.join(terms, "parent_asin", "left")))
+    p = dominant_emotion(cut_lineage(best_and_worst_aspects(p.join(terms, "parent_asin", "left"))))
     doubles = {n for n, k in p.dtypes if k == "double"} - {"price", "average_rating"}
     out = [F.col(c).cast("float").alias(c) if c in doubles else F.coalesce(c, F.lit("")).alias(c) if c in ("top_tfidf_phrases", "distinctive_terms") else F.col(c) for c in PRODUCT_COLUMNS]
     return p.select(*out)

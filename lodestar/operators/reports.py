@@ -21,7 +21,7 @@ def diverse_users(profiles: DataFrame, valid_users: DataFrame | None = None, n:
     picks = picks.unionByName(first(p.filter("interaction_count >= 5"), "light", 1, "interaction_count", "user_id"))
     picks = picks.unionByName(first(p.filter(F.col("cats").rlike("(?i)Role|RPG")), "role_playing", 2, "user_id"))
     picks = picks.unionByName(first(p.filter(F.col("cats").rlike("(?i)Shoot|Action|FPS")), "shooter", 3, "user_id"))
-    h = F.crc32(F.concat_ws("|", "user_id", F.lit(str(seed))).cast("binary"))
+    h = F.md5(F.concat_ws("|", "user_id", F.lit(str(seed))))
     fill = p.join(picks.select("user_id"), "user_id", "left_anti").orderBy(h, "user_id").limit(n).select((F.lit(10) + F.row_number().over(Window.orderBy(h, "user_id"))).alias("i"), F.lit("other").alias("label"), "user_id")
     every = picks.unionByName(fill)  # 4 + n rows at most
     one = every.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("i"))).filter("r = 1")

@@ -120,7 +120,7 @@ def score_by_bag(reviews: DataFrame, aspects: dict[str, list[str]] | None = None
     text = F.coalesce("text", F.lit(""))
     sentences = F.filter(F.split(F.trim(text), r"(?<=[.!?])\s+"), lambda s: F.length(s) >= 3)
     scored = F.transform(sentences, lambda s: F.struct(s.alias("s"), bag_score(s, lexicon).alias("score")))
-    out = reviews.withColumn("sentiment_score", F.round(bag_score(text, lexicon), 6)).withColumn("_sentences", scored)
+    out = reviews.withColumn("sentiment_score", bag_score(text, lexicon)).withColumn("_sentences", scored)
     out = out.withColumn("sentiment_label", sentiment_label(F.col("sentiment_score")))
 
 
@@ -130,7 +130,7 @@ def score_by_bag(reviews: DataFrame, aspects: dict[str, list[str]] | None = None
     for a, p in _aspect_patterns(aspects or ASPECT_KEYWORDS).items():
         hits = matching(p)
         total = F.aggregate(hits, F.lit(0.0), lambda acc, x: acc + x["score"])
-        out = out.withColumn(f"aspect_{a}", F.when(F.size(hits) > 0, F.round(total / F.size(hits), 6)))
+        out = out.withColumn(f"aspect_{a}", F.when(F.size(hits) > 0, total / F.size(hits)))
     return out.drop("_sentences")
 
 

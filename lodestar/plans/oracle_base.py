@@ -70,13 +70,13 @@ _HITS = "\n    ".join(
 SCORED = f"""{REVIEWS},
 sents AS (
   SELECT *, list_filter(string_split(regexp_replace(trim(text), '([.!?])[ ]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: length(s) >= 3) AS sents,
-    round({bag('text')}, 6) + 0.0::DOUBLE AS sentiment_score FROM revc
+    {bag('text')} AS sentiment_score FROM revc
 ),
 hits AS (SELECT *, {_HITS} 1 AS one FROM sents),
 nlp AS (
   SELECT review_id, user_id, parent_asin, rating, text, timestamp, helpful_vote, verified_purchase, sentiment_score,
     CASE WHEN sentiment_score >= 0.05 THEN 'positive' WHEN sentiment_score <= -0.05 THEN 'negative' ELSE 'neutral' END AS sentiment_label,
-    {", ".join(f"CASE WHEN len(h_{a}) > 0 THEN round(list_sum(list_transform(h_{a}, lambda s: {bag('s')})) / len(h_{a}), 6) + 0.0::DOUBLE END AS aspect_{a}" for a in A)}
+    {", ".join(f"CASE WHEN len(h_{a}) > 0 THEN list_sum(list_transform(h_{a}, lambda s: {bag('s')})) / len(h_{a}) END AS aspect_{a}" for a in A)}
   FROM hits
 )"""
 

@@ -55,11 +55,11 @@ def split_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexicon_sentiment(spark: SparkSession, d: str) -> DataFrame:
-    return Tables(spark, d).scored().select("review_id", "sentiment_score", "sentiment_label")
+    return rounded(Tables(spark, d).scored().select("review_id", "sentiment_score", "sentiment_label"))
 
 
 def aspect_sentiment(spark: SparkSession, d: str) -> DataFrame:
-    return Tables(spark, d).scored().select("review_id", *[f"aspect_{a}" for a in ASPECTS])
+    return rounded(Tables(spark, d).scored().select("review_id", *[f"aspect_{a}" for a in ASPECTS]))
 
 
 def rule_sentiment(spark: SparkSession, d: str) -> DataFrame:
@@ -309,8 +309,8 @@ WHERE NOT EXISTS (SELECT 1 FROM split h WHERE h.split <> 'train' AND h.user_id =
   coalesce(string_agg(parent_asin, ' ') OVER (PARTITION BY user_id ORDER BY timestamp ASC NULLS LAST, parent_asin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history
 FROM split WHERE split = 'train'""",
     "split_counts": f"WITH {_SPLIT} SELECT split, count(*) AS n_rows, count(DISTINCT user_id) AS n_users, count(DISTINCT parent_asin) AS n_items FROM split GROUP BY split",
-    "lexicon_sentiment": f"WITH {SCORED} SELECT review_id, sentiment_score, sentiment_label FROM nlp",
-    "aspect_sentiment": f"WITH {SCORED} SELECT review_id, {', '.join(f'aspect_{a}' for a in ASPECTS)} FROM nlp",
+    "lexicon_sentiment": f"WITH {SCORED} SELECT review_id, {nums('sentiment_score')}, sentiment_label FROM nlp",
+    "aspect_sentiment": f"WITH {SCORED} SELECT review_id, {nums(*[f'aspect_{a}' for a in ASPECTS])} FROM nlp",
     "sentiment_distribution": f"WITH {SCORED} SELECT sentiment_label, count(*) AS n, round(count(*) / (SELECT count(*) FROM nlp)::DOUBLE, 6) AS share FROM nlp GROUP BY 1",
     "aspect_hit_rates": f"WITH {SCORED} " + " UNION ALL ".join(f"SELECT '{a}' AS aspect, count(aspect_{a}) AS hits, round(count(aspect_{a}) / count(*)::DOUBLE, 6) AS rate FROM nlp" for a in ASPECTS),
     "emotion_vocab": f"""WITH {REVIEWS}, lex(word, valence) AS (VALUES {_LEX_VALUES}),
