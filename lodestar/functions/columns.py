@@ -78,10 +78,8 @@ def richness(c: Column) -> Column:
 def keyword_frequency(c: Column, keywords: list[str]) -> Column:
     """Sum over keywords of non-overlapping occurrences as plain substrings of the lower-cased text."""
     t = F.lower(F.coalesce(c, F.lit("")))
-    total = F.lit(0)
-    for k in keywords:
-        total = total + ((F.length(t) - F.length(F.replace(t, F.lit(k), F.lit("")))) / F.lit(len(k))).cast("int")
-    return total
+    hits = lambda k: ((F.length(t) - F.length(F.replace(t, k, F.lit("")))) / F.length(k)).cast("int")
+    return F.aggregate(F.lit(keywords), F.lit(0), lambda total, k: total + hits(k))
 
 
 def helpful_weight(c: Column) -> Column:

@@ -16,7 +16,7 @@ KEYS = ["user_id", "query_parent_asin", "candidate_parent_asin", "relevance_labe
 FEATURES: list[str] = (
     "f01_faiss_score f02_faiss_rank f03_query_item_cosine f04_user_uniform_cosine f05_avg_rating f06_rating_count_log f07_review_count_log f08_mean_sentiment f09_price_normalized "
     "f10_hidden_gem_score f11_controversy_index f12_desc_richness f13_aspect_gameplay f14_aspect_graphics f15_aspect_story f16_aspect_controls f17_aspect_value f18_user_item_voice_cosine "
-    "f19_category_match f20_price_tier_match f21_sentiment_gap f22_aspect_match f23_interaction_count_log f24_sentiment_trajectory f25_verified_ratio f26_helpfulness_sentiment "
+    "f19_category_match f20_price_tier_match f21_user_avg_sentiment_gap f22_top_aspect_match f23_interaction_count_log f24_sentiment_trajectory f25_verified_ratio f26_helpfulness_weighted_sentiment "
     "f27_is_forced_positive f28_user_recency_cosine f29_user_rating_cosine f30_user_combined_cosine f31_bm25_score"
 ).split()
 

@@ -139,7 +139,7 @@ _WIDE = f"{ITEMS}, {_PSIDE}, {_USIDE}, {_GIVEN}, wide AS (SELECT user_id, query_
 _RANGES: dict[int, tuple[str, str, str]] = {1: ("-1", "1", "0.3"), 2: ("0.005", "1", "0.5"), 5: ("1", "5", "median(rating)"), 6: ("0", "max(lnr)", "median(lnr)"), 7: ("0", "max(lnv)", "median(lnv)"), 8: ("-1", "1", "median(sent)"), 9: ("0", "quantile_cont(price, 0.99)", "median(price)"), 10: ("min(gem)", "max(gem)", "median(gem)"), 11: ("0", "max(contro)", "median(contro)"), 12: ("0", "1", "median(rich)"), 21: ("0", "greatest(abs(any_value(ux) - min(sent)), abs(any_value(un) - max(sent)))", "any_value(ud)"), 23: ("0", "any_value(u23)", "0"), 24: ("0", "1", "0.5"), 25: ("0", "1", "median(ver)"), 26: ("-1", "1", "median(wsent)")}
 _RANGES |= {i: ("-1", "1", "0") for i in (3, 4, 18, 28, 29, 30)} | {i: ("0", "1", "0") for i in (19, 20, 22, 27, 31)} | {13 + i: ("-1", "1", f"median(p_{a})") for i, a in enumerate(ASPECTS)}
 _FSTATS = f"""{_PSIDE}, pl AS (SELECT *, ln(1 + greatest(coalesce(nr, 0), 0)) AS lnr, ln(1 + greatest(coalesce(nv, 0), 0)) AS lnv FROM ps), ur AS (SELECT max({_f('user_avg_sentiment')}) AS ux, min({_f('user_avg_sentiment')}) AS un, stddev_samp({_f('user_avg_sentiment')}) AS ud, max(ln(1 + greatest(interaction_count, 0))) AS u23 FROM user_profiles),
-fs AS ({" UNION ALL ".join(f"SELECT '{FEATURES[i - 1]}' AS feature, CAST({lo} AS DOUBLE) AS min, CAST({hi} AS DOUBLE) AS max, coalesce(CAST({fill} AS DOUBLE), 0) AS fill FROM pl, ur" for i, (lo, hi, fill) in sorted(_RANGES.items()))})"""
+fs AS ({" UNION ".join(f"SELECT '{FEATURES[i - 1]}' AS feature, CAST({lo} AS DOUBLE) AS min, CAST({hi} AS DOUBLE) AS max, coalesce(CAST({fill} AS DOUBLE), 0) AS fill FROM pl, ur" for i, (lo, hi, fill) in sorted(_RANGES.items()))})"""
 
 _LAB = f"lab AS (SELECT user_id, query_parent_asin, candidate_parent_asin, max(relevance_label) AS relevance_label, {', '.join(f'max({_f(n)}) AS {n}' for n in FEATURES)} FROM features_test GROUP BY ALL)"
 _METRIC = [*[f"ndcg_{k}" for k in (1, 5, 10)], *[f"hr_{k}" for k in (1, 5, 10)], "mrr", "recall_10"]
