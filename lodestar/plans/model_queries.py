@@ -9,6 +9,7 @@ from lodestar.functions import columns as C
 from lodestar.operators import documents, evaluation, features, interactions, products, ranker, reports, retrieval, users
 from lodestar.plans.catalog import Tables, rounded
 from lodestar.plans.model_sql import SQL  # noqa: F401
+from lodestar.session import cut_lineage
 
 TOP_K = 10
 
@@ -70,7 +71,8 @@ def tier_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 def profile_table(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
-    return users.profile_table(_train(t), t.scored(), _listed(t), _items(t))
+    train, listed = cut_lineage(_train(t)), cut_lineage(_listed(t))  # both are read several times
+    return users.profile_table(train, t.scored(), listed, _items(t))
 
 
 def lambda_diagnostic(spark: SparkSession, d: str) -> DataFrame:

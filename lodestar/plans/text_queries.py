@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.config import ASPECT_KEYWORDS, ASPECTS, LEXICON
 from lodestar.operators import cleaning, interactions, products, sentiment, tfidf
 from lodestar.plans.catalog import Tables, rounded
+from lodestar.session import cut_lineage
 from lodestar.plans.oracle_base import META, REVIEWS, SCORED, bag, num, nums, parts, tokens
 
 CORE_K = 3
@@ -126,7 +127,7 @@ def dominant_emotion(spark: SparkSession, d: str) -> DataFrame:
 
 def product_table(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
-    return products.product_table(t.meta(), t.scored())
+    return products.product_table(cut_lineage(t.meta()), cut_lineage(t.scored()))  # both are read several times
 
 
 def _weights(spark: SparkSession, d: str) -> DataFrame:
