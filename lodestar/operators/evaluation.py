@@ -109,7 +109,7 @@ def bootstrap_std(per_query: DataFrame, metric: str = "ndcg_10", rounds: int = 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds, dtype=np.int32)), pa.array(sums), pa.array(weights)], names=["round", "s", "w"])
 
     keyed = per_query.select(F.xxhash64(*QUERY, F.lit(seed)).alias("h"), F.col(metric).cast("double").alias("v")).dropna()
-    means = keyed.mapInArrow(run, "round int, s double, w double").groupBy("round").agg((F.sum("s") / F.sum("w")).alias("m"))
+    means = keyed.mapInArrow(run, "round int, s double, w double").groupBy("round").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m")).dropna()  # a round that drew nothing has no mean
     return means.agg(F.lit(metric).alias("metric"), F.count(F.lit(1)).alias("rounds"), F.stddev_pop("m").alias("std"))
 
 

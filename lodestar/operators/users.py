@@ -42,8 +42,9 @@ def weighted_mean_vectors(rows: DataFrame, key: str, vec: str, weights: dict[str
     One aggregation with dense partial sums per key (map-side combine); rows are not multiplied by the dimension, hot keys leave a task as one row.
     """
     w = rows.filter(F.col(vec).isNotNull()).select(key, array_to_vector(F.col(vec)).alias("_v"), *[F.greatest(F.coalesce(c.cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"_w_{n}") for n, c in weights.items()])
+    never = F.lit(1e-300)  # the summarizer refuses groups without any weight; such means are dropped below
     means = w.groupBy(key).agg(
-        *[Summarizer.mean(F.col("_v"), F.col(f"_w_{n}")).alias(n) for n in weights], *[F.max(f"_w_{n}").alias(f"_m_{n}") for n in weights]
+        *[Summarizer.mean(F.col("_v"), F.greatest(F.col(f"_w_{n}"), never)).alias(n) for n in weights], *[F.max(f"_w_{n}").alias(f"_m_{n}") for n in weights]
     )
     return means.select(key, *[F.when(F.col(f"_m_{n}") > 0, C.normalised(vector_to_array(n))).alias(n) for n in weights])
 

@@ -10,8 +10,15 @@ from lodestar.functions.columns import to_number
 
 _BAD = "_malformed"
 
-META_SCHEMA = T.StructType.fromDDL("parent_asin string, title string, description array<string>, features array<string>, price string, store string, categories array<string>, average_rating double, rating_number long")
-REVIEW_SCHEMA = T.StructType.fromDDL("user_id string, parent_asin string, rating double, text string, timestamp long, helpful_vote long, verified_purchase boolean")
+_KINDS = {"s": T.StringType(), "a": T.ArrayType(T.StringType()), "d": T.DoubleType(), "l": T.LongType(), "b": T.BooleanType()}
+
+
+def _schema(**fields: str) -> T.StructType:
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in fields.items()])
+
+
+META_SCHEMA = _schema(parent_asin="s", title="s", description="a", features="a", price="s", store="s", categories="a", average_rating="d", rating_number="l")
+REVIEW_SCHEMA = _schema(user_id="s", parent_asin="s", rating="d", text="s", timestamp="l", helpful_vote="l", verified_purchase="b")
 INTERACTION_COLUMNS = ["user_id", "parent_asin", "rating", "timestamp", "history"]
 
 
@@ -21,9 +28,10 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, partit
     A single gzip file is one partition; ``partitions`` spreads its rows for the stages after it. ``malformed`` holds the raw lines.
     """
     with_bad = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-    raw = spark.read.schema(with_bad).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).json(path)
-    rows = raw.filter(F.col(_BAD).isNull()).drop(_BAD)
-    bad = raw.filter(F.col(_BAD).isNotNull() & (F.trim(_BAD) != "")).select(F.col(_BAD).alias("line"))
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}).alias("r")).select("r.*")
+    rows = parsed.filter(F.col(_BAD).isNull()).drop(_BAD)
+    bad = parsed.filter(F.col(_BAD).isNotNull()).select(F.col(_BAD).alias("line"))
     return (rows.repartition(partitions) if partitions else rows), bad
 
 
