@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 SPACE = r"[\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where the body uses it inside another lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def squeeze(c: Column) -> Column:
     """Runs of white space become one blank; ends trimmed; null stays null."""
     return F.trim(F.regexp_replace(c, SPACE, " "))
@@ -71,15 +76,13 @@ def word_count(c: Column) -> Column:
 
 def richness(c: Column) -> Column:
     """Different lower-cased tokens over tokens; 0 without tokens."""
-    t = tokens(F.lower(c))
-    return F.when(F.size(t) > 0, F.size(F.array_distinct(t)) / F.size(t)).otherwise(F.lit(0.0))
+    return let(tokens(F.lower(c)), lambda t: F.when(F.size(t) > 0, F.size(F.array_distinct(t)) / F.size(t)).otherwise(F.lit(0.0)))
 
 
 def keyword_frequency(c: Column, keywords: list[str]) -> Column:
     """Sum over keywords of non-overlapping occurrences as plain substrings of the lower-cased text."""
-    t = F.lower(F.coalesce(c, F.lit("")))
-    hits = lambda k: ((F.length(t) - F.length(F.replace(t, k, F.lit("")))) / F.length(k)).cast("int")
-    return F.aggregate(F.lit(keywords), F.lit(0), lambda total, k: total + hits(k))
+    hits = lambda t, k: ((F.length(t) - F.length(F.replace(t, k, F.lit("")))) / F.length(k)).cast("int")
+    return let(F.lower(F.coalesce(c, F.lit(""))), lambda t: F.aggregate(F.lit(keywords), F.lit(0), lambda total, k: total + hits(t, k)))
 
 
 def helpful_weight(c: Column) -> Column:
@@ -122,8 +125,8 @@ def norm(a: Column) -> Column:
 
 def normalised(a: Column) -> Column:
     """Unit vector in double; norms up to 1e-9 leave the vector as it is."""
-    n = norm(a)
-    return F.when(n > 1e-9, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    scaled = lambda v, n: F.when(n > 1e-9, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return let(a, lambda v: let(norm(v), lambda n: scaled(v, n)))
 
 
 def scaled_sum(*terms: tuple[Column, Column]) -> Column:

@@ -18,23 +18,30 @@ def _same(a: str, b: str, columns: list[str]) -> list[Column]:
     return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns]
 
 
-def with_positions(df: DataFrame, keys: list[str], value: str, ties: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Adds ``position`` (0-based, ascending by value, nulls last, then ``ties``) and ``group_rows``."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows"))
-    hot = counts.filter(F.col("group_rows") > hot_rows)
+def with_positions(df: DataFrame, keys: list[str], value: str, ties: list[str], hot_rows: int = HOT_ROWS, weight: str | None = None) -> DataFrame:
+    """Adds ``position`` (0-based, ascending by value, nulls last, then ``ties``) and ``group_rows``.
+
+    With ``weight`` a row stands for that many: position is the weight before it, ``group_rows`` the weight of its group.
+    """
+    one = F.lit(1) if weight is None else F.col(weight)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.sum(one).alias("group_rows"))
+    hot = counts.filter(F.col("_rows") > hot_rows)
     order = [F.col(value).asc_nulls_last(), *[F.col(t) for t in ties]]
+    group = Window.partitionBy(*keys)
+
+    def before(w) -> Column:
+        return F.coalesce(F.sum(one).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
     if hot.isEmpty():
-        group = Window.partitionBy(*keys)
-        return df.withColumn("position", F.row_number().over(group.orderBy(*order)) - 1).withColumn("group_rows", F.count(F.lit(1)).over(group))
+        return df.withColumn("position", before(group)).withColumn("group_rows", F.sum(one).over(group))
     hot_only = df.alias("d").join(hot.alias("h"), _same("d", "h", keys), "left_semi")
     cuts = hot_only.groupBy(*keys).agg(F.percentile_approx(value, [i / CUTS for i in range(1, CUTS)], 10_000).alias("_cuts"))
     bucket = F.when(F.col("_cuts").isNull(), 0).when(F.col(value).isNull(), _NULL_BUCKET).otherwise(F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(value))))
     placed = df.alias("d").join(cuts.alias("c"), _same("d", "c", keys), "left").select("d.*", "c._cuts").withColumn("_bucket", bucket).drop("_cuts")
-    sizes = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy(*keys)  # at most CUTS + 1 rows per key from here
-    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("group_rows", F.sum("_n").over(group)).drop("_n")
-    inner = placed.withColumn("_in", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)) - 1)
+    sizes = placed.groupBy(*keys, "_bucket").agg(F.sum(one).alias("_n"))  # at most CUTS + 1 rows per key
+    earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumn("group_rows", F.sum("_n").over(group)).drop("_n")
+    inner = placed.withColumn("_in", before(Window.partitionBy(*keys, "_bucket")))
     both = inner.alias("a").join(offsets.alias("b"), _same("a", "b", [*keys, "_bucket"]))
     return both.select("a.*", (F.col("_in") + F.col("_off")).alias("position"), "b.group_rows").drop("_in", "_bucket")
 
@@ -45,13 +52,26 @@ def percent_ranks(df: DataFrame, keys: list[str], value: str, name: str, hot_row
     Equal values collapse before they are ranked, so a value that fills a group is one row.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_same"))
-    placed = with_positions(counts, keys, value, [], hot_rows)
-    if "_cuts" in placed.columns:
-        placed = placed.drop("_cuts")
-    group = Window.partitionBy(*keys)
-    running = group.orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("_same").over(running), F.lit(0))
-    return placed.select(*keys, value, ((below + (F.col("_same") + 1) / 2) / F.sum("_same").over(group)).alias(name))
+    placed = with_positions(counts, keys, value, [], hot_rows, weight="_same")
+    return placed.select(*keys, value, ((F.col("position") + (F.col("_same") + 1) / 2) / F.col("group_rows")).alias(name))
+
+
+def exact_percentiles(df: DataFrame, value: Column, shares: list[float], name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row: ``name``, the exact percentiles (linear between neighbours) of the non-null, non-NaN values; null without any.
+
+    Equal values collapse first and are positioned by buckets, so that no task holds all values, as the built-in exact percentile would.
+    """
+    v = df.select(value.cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy("_v").agg(F.count(F.lit(1)).alias("_same"))
+    placed = with_positions(v.withColumn("_g", F.lit(0)), ["_g"], "_v", [], hot_rows, weight="_same")
+    last = F.col("group_rows") - 1
+    out = []
+    for i, s in enumerate(shares):
+        at = F.lit(s) * last
+        inside = lambda r: (F.col("position") <= r) & (r < F.col("position") + F.col("_same"))
+        low, high = F.max(F.when(inside(F.floor(at)), F.col("_v"))), F.max(F.when(inside(F.ceil(at)), F.col("_v")))
+        out.append((low + (high - low) * F.max(at - F.floor(at))).alias(f"_q{i}"))
+    row = placed.agg(*out)
+    return row.select(F.array(*[F.col(f"_q{i}") for i in range(len(shares))]).alias(name))
 
 
 def join_percent_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:

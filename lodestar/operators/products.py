@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.config import ASPECTS, Settings
 from lodestar.functions import columns as C
-from lodestar.functions.ranking import join_percent_rank, with_positions
+from lodestar.functions.ranking import exact_percentiles, join_percent_rank, with_positions
 from lodestar.session import cut_lineage
 
 DAY_MS = 86_400_000.0
@@ -78,7 +78,7 @@ def with_scalars(df: DataFrame, **scalars: Column) -> DataFrame:
 def price_tiers(products: DataFrame) -> DataFrame:
     """budget / mid / premium / luxury at the exact 25th, 75th and 90th percentile of known prices; unknown without a price."""
     price = C.to_number(F.col("price"))
-    p = with_scalars(products, _p=F.percentile(price, [0.25, 0.75, 0.9]))
+    p = products.crossJoin(F.broadcast(exact_percentiles(products, price, [0.25, 0.75, 0.9], "_p")))
     tier = F.when(price.isNull(), "unknown").when(price <= F.col("_p")[0], "budget").when(price <= F.col("_p")[1], "mid").when(price <= F.col("_p")[2], "premium").otherwise("luxury")
     return p.withColumn("price_tier", tier).drop("_p")
 
@@ -93,7 +93,7 @@ def _pick(candidates: list[tuple[str, Column, Column]], default: str, largest: b
 def _coverage_floor(products: DataFrame) -> DataFrame:
     """One row: the 5th percentile of non-zero coverages over all products and aspects, 0 without any."""
     values = products.select(F.explode(F.array(*[F.col(f"coverage_{a}").cast("double") for a in ASPECTS])).alias("c")).filter("c > 0")
-    return values.agg(F.coalesce(F.percentile("c", 0.05), F.lit(0.0)).alias("_floor"))
+    return exact_percentiles(values, F.col("c"), [0.05], "_q").select(F.coalesce(F.col("_q")[0], F.lit(0.0)).alias("_floor"))
 
 
 def reality_gap(products: DataFrame, desc_sentiment: Column, keywords: dict[str, list[str]]) -> DataFrame:

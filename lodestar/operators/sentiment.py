@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.config import ASPECT_KEYWORDS, BOOSTERS, LEXICON, NEGATIONS
-from lodestar.functions.columns import sentiment_label
+from lodestar.functions.columns import let, sentiment_label
 
 
 def bag_score(text: Column, lexicon: dict[str, float] | None = None) -> Column:
@@ -27,7 +27,7 @@ def bag_score(text: Column, lexicon: dict[str, float] | None = None) -> Column:
     found = F.regexp_extract_all(F.lower(text), F.lit(r"\b(" + "|".join(sorted(lexicon, key=lambda w: (-len(w), w))) + r")\b"), F.lit(1))
     table = F.create_map(*[F.lit(x) for w, v in lexicon.items() for x in (w, float(v))])
     s = F.aggregate(F.transform(found, lambda w: F.try_element_at(table, w)), F.lit(0.0), lambda a, v: a + v)
-    return s / F.sqrt(s * s + F.lit(15.0))
+    return let(s, lambda v: v / F.sqrt(v * v + F.lit(15.0)))
 
 
 class RuleScorer:
@@ -128,9 +128,7 @@ def score_by_bag(reviews: DataFrame, aspects: dict[str, list[str]] | None = None
         return F.filter("_sentences", lambda x: x["s"].rlike("(?i)" + pattern))
 
     for a, p in _aspect_patterns(aspects or ASPECT_KEYWORDS).items():
-        hits = matching(p)
-        total = F.aggregate(hits, F.lit(0.0), lambda acc, x: acc + x["score"])
-        out = out.withColumn(f"aspect_{a}", F.when(F.size(hits) > 0, total / F.size(hits)))
+        out = out.withColumn(f"aspect_{a}", let(matching(p), lambda hits: F.when(F.size(hits) > 0, F.aggregate(hits, F.lit(0.0), lambda acc, x: acc + x["score"]) / F.size(hits))))
     return out.drop("_sentences")
 
 

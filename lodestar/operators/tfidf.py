@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.columns import let
+
 
 # Our own list of English function words (the usual public choice is a parameter).
 STOP_WORDS = (
@@ -17,10 +19,10 @@ STOP_WORDS = (
 
 def terms_of(text: Column, stop: list[str]) -> Column:
     """Uni- and bigrams over the lower-cased word tokens (two or more of a-z, 0-9, _) that are not stop words."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{2,}"), F.lit(0)), lambda w: ~w.isin(stop))
-    n = F.size(words)
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, pairs)
+    kept = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{2,}"), F.lit(0)), lambda w: ~w.isin(stop))
+    less = lambda words: F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = lambda words: F.zip_with(F.slice(words, 1, less(words)), F.slice(words, 2, less(words)), lambda a, b: F.concat_ws(" ", a, b))
+    return let(kept, lambda words: F.concat(words, pairs(words)))
 
 
 def category_weights(products: DataFrame, reviews: DataFrame, max_features: int = 50_000, min_df: int = 2, stop: list[str] | None = None) -> DataFrame:

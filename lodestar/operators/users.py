@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.config import ASPECTS, Settings
 from lodestar.functions import columns as C
+from lodestar.functions.ranking import exact_percentiles
 from lodestar.operators.products import DAY_MS, with_scalars
 
 EMBEDDINGS = ("uniform", "recency", "rating", "combined")
@@ -126,13 +127,14 @@ def review_signals(scored: DataFrame) -> DataFrame:
 
 def tiers(profiles: DataFrame, query_weight: float = 0.7) -> DataFrame:
     """Cold-start tier from the 5th and 25th percentile of interaction counts, query and user weight, activity flag (75th percentile of recency)."""
-    p = with_scalars(profiles, _q=F.percentile("interaction_count", [0.05, 0.25]), _r=F.percentile("recency_score", 0.75))
+    quartiles = exact_percentiles(profiles, F.col("interaction_count"), [0.05, 0.25], "_q").crossJoin(exact_percentiles(profiles, F.col("recency_score"), [0.75], "_r"))
+    p = profiles.crossJoin(F.broadcast(quartiles))  # one row
     n = F.col("interaction_count")
     tier = F.when(n.isNull(), 0).when(n < F.col("_q")[0], 1).when(n < F.col("_q")[1], 2).otherwise(3)
     first = min(0.9, 1.0 - 0.1 * query_weight)
     p = p.withColumn("cold_start_tier", tier)
     weight = F.when(F.col("cold_start_tier") <= 1, first).when(F.col("cold_start_tier") == 2, (first + query_weight) / 2).otherwise(query_weight)
-    return p.withColumn("query_weight", weight).withColumn("user_weight", 1 - weight).withColumn("is_active", F.coalesce(F.col("recency_score") <= F.col("_r"), F.lit(False))).drop("_q", "_r")
+    return p.withColumn("query_weight", weight).withColumn("user_weight", 1 - weight).withColumn("is_active", F.coalesce(F.col("recency_score") <= F.col("_r")[0], F.lit(False))).drop("_q", "_r")
 
 
 def tier_distribution(profiles: DataFrame) -> DataFrame:

@@ -42,3 +42,22 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+SMALL_BYTES = 64 << 20
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """A frame whose estimated size is small, over all cores: a small table often is one file and one partition, which would leave a CPU-bound stage to one core.
+
+    Beyond ``SMALL_BYTES`` the frame is returned as it is, so large inputs get no extra shuffle.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(n) if size < SMALL_BYTES else df
+
+
+def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for CPU-bound stages: spread over the cores if it is small and has fewer files than there are cores."""
+    df = read_table(spark, sf_dir, name)
+    return spread_small(df) if len(df.inputFiles()) < spark.sparkContext.defaultParallelism else df

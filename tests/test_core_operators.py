@@ -185,3 +185,16 @@ def test_settings(tmp_path):
     f.write_text('{"nope": 1}')
     with pytest.raises(ValueError):
         load_settings(str(f))
+
+
+@pytest.mark.parametrize("hot_rows", [1_000_000, 20])
+def test_exact_percentiles(spark, hot_rows):
+    import numpy as np
+
+    from lodestar.functions.ranking import exact_percentiles
+
+    x = [float(v) for v in np.random.default_rng(2).normal(size=150).round(1)]
+    df = spark.createDataFrame([(v,) for v in x] + [(None,), (float("nan"),)], "v double")
+    got = exact_percentiles(df, F.col("v"), [0.05, 0.25, 0.75, 0.9], "q", hot_rows).first().q
+    assert got == pytest.approx(list(np.percentile(x, [5, 25, 75, 90])))
+    assert exact_percentiles(df.limit(0), F.col("v"), [0.5], "q", hot_rows).first().q == [None]
