@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import distinctive, fusion, language, mixing, neardup, similar, tokenize, topn
 from lodestar.llm.sql import SQL
-from lodestar.session import read_table
+from lodestar.session import read_spread, read_table
 
 QUERY_KEY, CANDIDATE = ["user_id", "query_parent_asin"], "candidate_parent_asin"
 FUSED_SCORES = ["f01_faiss_score", "f31_bm25_score", "f05_avg_rating"]
@@ -31,7 +31,7 @@ def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reviews, products = read_table(spark, sf_dir, "reviews"), read_table(spark, sf_dir, "products_nlp")
+    reviews, products = read_spread(spark, sf_dir, "reviews"), read_table(spark, sf_dir, "products_nlp")
     words = distinctive.residual_idf(distinctive.word_occurrences(reviews), distinctive.record_count(reviews), 5, 0.75)
     out = words.select(F.lit("reviews.text").alias("field"), "parent_asin", "term")
     for column in ("top_tfidf_phrases", "distinctive_terms"):
@@ -41,7 +41,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reviews = read_table(spark, sf_dir, "reviews")
+    reviews = read_spread(spark, sf_dir, "reviews")
     return distinctive.residual_idf(distinctive.word_occurrences(reviews), distinctive.record_count(reviews))
 
 
@@ -55,7 +55,7 @@ def p3_term_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.review_and_description_texts(read_table(spark, sf_dir, "reviews"), read_table(spark, sf_dir, "meta_clean"))
+    return neardup.review_and_description_texts(read_spread(spark, sf_dir, "reviews"), read_table(spark, sf_dir, "meta_clean"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,19 +89,19 @@ def p6_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenize.encode_corpus(read_table(spark, sf_dir, "documents"))
+    return tokenize.encode_corpus(read_spread(spark, sf_dir, "documents"))
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+    return mixing.mix(read_spread(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.shares(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+    return mixing.shares(read_spread(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "lang_samples"))
+    return language.classify(read_spread(spark, sf_dir, "documents"), read_table(spark, sf_dir, "lang_samples"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
