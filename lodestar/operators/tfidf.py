@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.columns import let
+from lodestar.session import cut_lineage
 
 
 # Our own list of English function words (the usual public choice is a parameter).
@@ -34,7 +35,7 @@ def category_weights(products: DataFrame, reviews: DataFrame, max_features: int
     stop = STOP_WORDS if stop is None else stop
     docs = reviews.filter(F.coalesce(F.trim("text"), F.lit("")) != "").select("parent_asin", F.explode(terms_of(F.col("text"), stop)).alias("term"))
     per_product = docs.groupBy("parent_asin", "term").agg(F.count(F.lit(1)).alias("tf"))
-    tf = per_product.join(products.select("parent_asin", "leaf_category"), "parent_asin")
+    tf = cut_lineage(per_product.join(products.select("parent_asin", "leaf_category"), "parent_asin"))  # read three times below
     written = reviews.filter(F.coalesce(F.trim("text"), F.lit("")) != "").select("parent_asin").distinct()
     n_docs = products.join(written, "parent_asin", "left_semi").groupBy("leaf_category").agg(F.count(F.lit(1)).alias("n"))
     df = tf.groupBy("leaf_category", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
@@ -42,6 +43,7 @@ def category_weights(products: DataFrame, reviews: DataFrame, max_features: int
     top = Window.partitionBy("leaf_category").orderBy(F.col("total").desc(), "term")
     vocabulary = known.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= max_features)
     weighted = tf.join(vocabulary, ["leaf_category", "term"]).withColumn("raw", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    weighted = cut_lineage(weighted.select("leaf_category", "parent_asin", "term", "n", "raw"))
     lengths = weighted.groupBy("parent_asin").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
     unit = weighted.join(lengths, "parent_asin").select("leaf_category", "parent_asin", "term", "n", (F.col("raw") / F.col("length")).alias("weight"))
     centroid = unit.groupBy("leaf_category", "term").agg((F.sum("weight") / F.max("n")).alias("centroid"))
@@ -57,6 +59,7 @@ def _top(weights: DataFrame, value: Column, k: int, name: str) -> DataFrame:
 def category_terms(products: DataFrame, reviews: DataFrame, max_features: int = 50_000, min_df: int = 2, stop: list[str] | None = None) -> DataFrame:
     """(parent_asin, top_tfidf_phrases, distinctive_terms): 10 terms by weight, 5 by weight above the category centroid."""
     weights = category_weights(products, reviews, max_features, min_df, stop)
+    weights = cut_lineage(weights)
     return _top(weights, F.col("weight"), 10, "top_tfidf_phrases").join(_top(weights, F.col("weight") - F.col("centroid"), 5, "distinctive_terms"), "parent_asin", "full_outer")
 
 

@@ -170,7 +170,7 @@ def feature_stats(spark: SparkSession, d: str) -> DataFrame:
 def features_scaled(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     stats = features.stats_dict(features.feature_stats(t.raw("products_nlp"), t.raw("user_profiles"), 200))
-    return features.scale_features(_raw_features(t), stats)
+    return rounded(features.scale_features(_raw_features(t), stats), 5)
 
 
 def feature_nulls(spark: SparkSession, d: str) -> DataFrame:

@@ -141,6 +141,15 @@ _RANGES |= {i: ("-1", "1", "0") for i in (3, 4, 18, 28, 29, 30)} | {i: ("0", "1"
 _FSTATS = f"""{_PSIDE}, pl AS (SELECT *, ln(1 + greatest(coalesce(nr, 0), 0)) AS lnr, ln(1 + greatest(coalesce(nv, 0), 0)) AS lnv FROM ps), ur AS (SELECT max({_f('user_avg_sentiment')}) AS ux, min({_f('user_avg_sentiment')}) AS un, stddev_samp({_f('user_avg_sentiment')}) AS ud, max(ln(1 + greatest(interaction_count, 0))) AS u23 FROM user_profiles),
 fs AS ({" UNION ".join(f"SELECT '{FEATURES[i - 1]}' AS feature, CAST({lo} AS DOUBLE) AS min, CAST({hi} AS DOUBLE) AS max, coalesce(CAST({fill} AS DOUBLE), 0) AS fill FROM pl, ur" for i, (lo, hi, fill) in sorted(_RANGES.items()))})"""
 
+_FSTATS_ONLY = _FSTATS[_FSTATS.index("pl AS (") :]
+
+
+def _scaled(n: str) -> str:
+    get = lambda c: f"(SELECT {c} FROM fs WHERE feature = '{n}')"
+    span = f"({get('max')} - {get('min')})"
+    return f"round(CASE WHEN {span} IS NULL OR {span} < 1e-9 THEN 0 ELSE greatest(least((coalesce({n}, {get('fill')}) - {get('min')}) / {span}, 1), 0) END, 5) + 0.0::DOUBLE AS {n}"
+
+
 _LAB = f"lab AS (SELECT user_id, query_parent_asin, candidate_parent_asin, max(relevance_label) AS relevance_label, {', '.join(f'max({_f(n)}) AS {n}' for n in FEATURES)} FROM features_test GROUP BY ALL)"
 _METRIC = [*[f"ndcg_{k}" for k in (1, 5, 10)], *[f"hr_{k}" for k in (1, 5, 10)], "mrr", "recall_10"]
 
@@ -223,6 +232,9 @@ SQL: dict[str, str] = {
     "candidates_forced": _CANDS,
     "features_wide": f"WITH {_WIDE} SELECT user_id, query_parent_asin, candidate_parent_asin, relevance_label, is_forced_positive, {_r(5, *FEATURES)} FROM wide",
     "feature_stats": f"WITH {_FSTATS} SELECT feature, {_r(5, 'min', 'max', 'fill')} FROM fs",
+    "features_scaled": f"WITH {_WIDE}, {_FSTATS_ONLY} SELECT user_id, query_parent_asin, candidate_parent_asin, relevance_label, is_forced_positive, {', '.join(_scaled(n) for n in FEATURES)} FROM wide",
+    "feature_nulls": f"WITH {_WIDE} " + " UNION ALL ".join(f"SELECT '{n}' AS feature, count(*) FILTER (WHERE {n} IS NULL) AS n_rows FROM wide" for n in FEATURES)
+    + " UNION ALL SELECT 'positives', count(*) FILTER (WHERE relevance_label > 0) FROM wide UNION ALL SELECT 'forced', CAST(sum(is_forced_positive) AS BIGINT) FROM wide",
     "query_metrics": f"WITH {_LAB}, sc AS (SELECT *, f01_faiss_score AS score FROM lab), {_metrics('sc')} SELECT user_id, query_parent_asin, {nums(*_METRIC)} FROM pq",
     "query_counts": f"WITH {_LAB}, g AS (SELECT user_id, query_parent_asin, max((relevance_label > 0)::INT) AS p FROM lab GROUP BY ALL) SELECT count(*) AS total_queries, CAST(coalesce(sum(p), 0) AS BIGINT) AS evaluated_queries, count(*) FILTER (WHERE p = 0) AS skipped_queries FROM g",
     "system_comparison": f"WITH {_LAB}, {_systems({'random': _RANDOM, 'bm25': 'f31_bm25_score', 'ann': 'f01_faiss_score', 'linear': _linear([])})}, {_metrics('sy', 'system, ')}, {_macro('system')} SELECT system, {nums(*_METRIC, 'ndcg_10_std')}, evaluated_queries FROM mc",

@@ -323,6 +323,9 @@ SELECT parent_asin, string_agg(word, ', ' ORDER BY abs(valence) DESC, word) AS e
     "price_tiers": f"""WITH {META}, q AS (SELECT quantile_cont(price, 0.25) AS a, quantile_cont(price, 0.75) AS b, quantile_cont(price, 0.9) AS c FROM meta_c)
 SELECT parent_asin, CASE WHEN price IS NULL THEN 'unknown' WHEN price <= a THEN 'budget' WHEN price <= b THEN 'mid' WHEN price <= c THEN 'premium' ELSE 'luxury' END AS price_tier FROM meta_c, q""",
     "consensus_trends": _CONSENSUS,
+    "trend_summary": f"""WITH {_FLOAT_P}, v AS (SELECT parent_asin, {", ".join(f"recent_aspect_{a} - early_aspect_{a} AS d_{a}" for a in ASPECTS)} FROM prod),
+g AS (SELECT ({" + ".join(f"coalesce(sum(abs(d_{a})), 0)" for a in ASPECTS)}) / ({" + ".join(f"count(d_{a})" for a in ASPECTS)}) AS th FROM v)
+SELECT parent_asin, coalesce(nullif(concat_ws('; ', {", ".join(f"CASE WHEN d_{a} > th THEN printf('{a.capitalize()} improved (+%.2f)', d_{a}) WHEN d_{a} < -th THEN printf('{a.capitalize()} declined (%.2f)', d_{a}) END" for a in ASPECTS)}), ''), 'stable') AS aspect_trend_summary FROM v, g""",
     "category_signals": _CATEGORY_SQL,
     "reality_gap": _GAP,
     "best_worst_aspect": f"""WITH {_FLOAT_P}, {_COV} SELECT parent_asin,
