@@ -85,7 +85,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = topn.top_n_per_group(read_table(spark, sf_dir, "features_test"), QUERY_KEY, CANDIDATE, "f01_faiss_score", 10)
-    return best.select(*QUERY_KEY, CANDIDATE, "place")
+    return best.select(*QUERY_KEY, CANDIDATE, F.col("place").cast("long").alias("place"))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
