@@ -22,12 +22,22 @@ from lodestar.llm import shingles as sh
 from lodestar.session import cut_lineage
 
 WORDS, THRESHOLD, LEAST_WORDS = 5, 0.8, 5
-BANDS, ROWS = 24, 5
+MISSED, LEAST_BANDS, MOST_ROWS, MOST_HASHES = 1e-3, 24, 5, 450
 SKETCH, CHUNK, TOLERANCE = 64, 16, 1e-4
 HOT = 256
 TEXTS_A_STEP = 512
 
 
+def banding(threshold: float) -> tuple[int, int]:
+    """(bands, rows): the longest bands, of at most ``MOST_HASHES`` values in all, with which a pair at ``threshold`` shares none with probability ``MISSED`` at most."""
+    for rows in range(MOST_ROWS, 0, -1):
+        p = threshold**rows
+        bands = max(LEAST_BANDS, math.ceil(math.log(MISSED) / math.log1p(-p)) if p < 1 else 1)
+        if bands * rows <= MOST_HASHES:
+            break
+    return bands, rows
+
+
 def least_matches(threshold: float, n: int, tolerance: float = TOLERANCE) -> int:
     """Fewest equal values of ``n`` with which the posterior of reaching ``threshold`` is at least ``tolerance``.
 
@@ -96,14 +106,15 @@ def _first_of_each(prints: np.ndarray) -> np.ndarray:
     return np.unique(prints, return_index=True)[1]
 
 
-def _bands(docs: DataFrame, words: int, least_words: int) -> DataFrame:
-    mults = sh.multipliers(BANDS * ROWS, 1)
+def _bands(docs: DataFrame, words: int, least_words: int, threshold: float) -> DataFrame:
+    bands, length = banding(threshold)
+    mults = sh.multipliers(bands * length, 1)
 
     def emit(rows, h, t, prints, salts):
         which, values = sh.minhash(h, t, mults)
         once = _first_of_each(prints[which])  # copies in one step leave it once
-        keys = sh.mix64(sh.band_keys(values[once], ROWS).view(np.uint64) + salts[which][once][:, None]).view(np.int64)
-        node = np.repeat(prints[which][once], BANDS)
+        keys = sh.mix64(sh.band_keys(values[once], length).view(np.uint64) + salts[which][once][:, None]).view(np.int64)
+        node = np.repeat(prints[which][once], bands)
         yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(node)], names=["band", "node"])
 
     return _texts(docs, "band bigint, node bigint", words, least_words, emit)
@@ -269,7 +280,7 @@ def class_links(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOL
     Texts with fewer than ``least_words`` words (or fewer than one shingle), null and empty ones take no part. Links inside a class (similarity 1) are implied by
     ``members``. Empty table: no rows.
     """
-    bands = _bands(docs, words, least_words)
+    bands = _bands(docs, words, least_words, threshold)
     raw = bands.repartition("band").sortWithinPartitions("band", "node").mapInArrow(_bucket_pairs, _PAIRS)
     candidates = cut_lineage(raw.dropDuplicates())
     sketches = _sketches(docs, words, least_words)

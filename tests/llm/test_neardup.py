@@ -62,6 +62,22 @@ def test_pairs_equal_brute_force(spark):
     assert len(set(got)) >= 0.97 * len(want)
 
 
+def test_bands_follow_the_threshold(spark):
+    for threshold in (0.3, 0.5, 0.6, 0.8):
+        bands, rows = N.banding(threshold)
+        assert (1 - threshold**rows) ** bands <= 1e-3 and bands * rows <= N.MOST_HASHES
+    rng = random.Random(5)
+    rows = []
+    for i in range(200):  # 66 of 132 shingles in common: a similarity of exactly 0.5
+        text = [f"x{rng.randrange(10**9)}" for _ in range(101)]
+        other = [*text[:68], *[f"y{rng.randrange(10**9)}" for _ in range(33)]]
+        rows += [("a", f"p{i:03d}", " ".join(text)), ("a", f"q{i:03d}", " ".join(other))]
+    want = brute(rows, 3, 0.5, 10)
+    df = spark.createDataFrame(rows, "field string, id string, text string")
+    got = {tuple(r) for r in N.similar_pairs(df, 3, 0.5, 10).select("field", "id_a", "id_b").collect()}
+    assert len(want) == 200 and got <= want and len(got) >= 198
+
+
 def test_large_buckets_go_through_blocks(spark, monkeypatch):
     rows = corpus(60)
     rows += [("a", f"h{i:03d}", rows[0][2] + f" tail{i} more{i}") for i in range(40)]
