@@ -74,6 +74,9 @@ class Settings:
     top_k: int = 200
     recency_lambda: float = 0.01
     tier3_query_weight: float = 0.7
+    rounds: int = 50
+    depth: int = 5
+    patience: int = 5
     seed: int = 42
     lexicon: dict = field(default_factory=lambda: dict(LEXICON))
     aspects: dict = field(default_factory=lambda: dict(ASPECT_KEYWORDS))

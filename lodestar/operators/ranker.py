@@ -77,11 +77,12 @@ def _lambdas(pdf: pd.DataFrame, truncation: int) -> pd.DataFrame:
 
 
 def train(rows: DataFrame, valid: DataFrame | None = None, features: list[str] | None = None, rounds: int = 10, depth: int = 4, learning_rate: float = 0.1, truncation: int = 20, patience: int = 3, seed: int = 42) -> Ranker:
-    """Fit a ranker; ``valid`` drives early stopping on ndcg_10 (rounds without gain up to ``patience``). Queries without differing labels add no gradient."""
+    """Fit a ranker; ``valid`` drives early stopping on ndcg_10 (rounds without gain up to ``patience``), and the trees after the best round are dropped. Queries without differing labels add no gradient."""
     features = features or TRAINED
     model = Ranker(features, learning_rate)
     base = rows.fillna(0.0, features).withColumn("_row", F.xxhash64(*QUERY, "candidate_parent_asin")).withColumn("score", F.lit(0.0))
     state = cut_lineage(VectorAssembler(inputCols=features, outputCol="_x").transform(base).select(*QUERY, "candidate_parent_asin", "relevance_label", "_row", "_x", "score"))
+    held = None if valid is None else cut_lineage(VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(valid.fillna(0.0, features)).select(*QUERY, "candidate_parent_asin", "relevance_label", "_x", F.lit(0.0).alias("score")))
     best, since = -1.0, 0
     for number in range(rounds):
         lam = state.select(*QUERY, "candidate_parent_asin", "relevance_label", "_row", "score").groupBy(*QUERY).applyInPandas(lambda pdf: _lambdas(pdf, truncation), "_row long, _lambda double, _weight double")
@@ -94,11 +95,14 @@ def train(rows: DataFrame, valid: DataFrame | None = None, features: list[str] |
         model.leaves.append(leaves)
         state = cut_lineage(placed.withColumn("score", F.col("score") + _leaf_value(leaves, "_leaf") * learning_rate).select(*state.columns))
         if valid is not None:
-            m = macro_average(query_metrics(model.score(valid))).first()
+            held = cut_lineage(tree.transform(held).withColumn("score", F.col("score") + _leaf_value(leaves, "_leaf") * learning_rate).select(*held.columns))
+            m = macro_average(query_metrics(held)).first()
             model.history.append({"round": number, **m.asDict()})
             best, since = (m["ndcg_10"], 0) if (m["ndcg_10"] or 0) > best else (best, since + 1)
             if since >= patience:
                 break
+    if since:
+        model.trees, model.leaves = model.trees[:-since], model.leaves[:-since]
     return model
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar.config import Settings
 from lodestar.functions import columns as C
-from lodestar.operators import cleaning, documents, evaluation, features, interactions, products, ranker, retrieval, sentiment, users
+from lodestar.operators import cleaning, documents, evaluation, features, interactions, products, ranker, reports, retrieval, sentiment, users
 from lodestar.sources import readers, sinks
 
 
@@ -39,8 +39,12 @@ def _splits(spark, s):
     return interactions.leave_last_out(_table(spark, s, "reviews"))
 
 
+def _histories(spark, s):
+    return interactions.prefix_history(_table(spark, s, "splits"), split="split")
+
+
 def _train(spark, s):
-    return interactions.prefix_history(_table(spark, s, "splits").filter("split = 'train'").drop("split"))
+    return _table(spark, s, "histories").filter("split = 'train'").drop("split")
 
 
 def _scored(spark, s):
@@ -65,7 +69,7 @@ def _items(spark, s):
 
 
 def _profiles(spark, s):
-    return users.profile_table(_table(spark, s, "train"), _table(spark, s, "reviews_nlp"), _table(spark, s, "products_nlp"), _items(spark, s), s)
+    return users.profile_table(_train(spark, s), _table(spark, s, "reviews_nlp"), _table(spark, s, "products_nlp"), _items(spark, s), s)
 
 
 def _voices(spark, s):
@@ -73,39 +77,56 @@ def _voices(spark, s):
     return documents.encode_texts(v, "user_id", "voice_document", s.dimension).withColumnRenamed("embedding", "voice")
 
 
+def _queries(spark, s):
+    """(split, user_id, query_parent_asin, label, history, query_vec): every interaction of the three splits (of repeated ones of a split the last) against its earlier items, blended with the user's profile."""
+    keys = ["split", "user_id", "parent_asin"]
+    last = F.max_by(F.struct("rating", "history"), F.struct(F.size(C.tokens(F.col("history"))).alias("n"), "timestamp", "history")).alias("r")
+    h = _table(spark, s, "histories").groupBy(*keys).agg(last).select("split", "user_id", F.col("parent_asin").alias("query_parent_asin"), C.graded_label(F.col("r.rating")).alias("label"), "r.history")
+    q = users.history_vectors(h, _items(spark, s), ["split", "user_id", "query_parent_asin"], s.dimension).withColumn("query_id", F.to_json(F.struct("split", "query_parent_asin")))
+    asked = q.select("user_id", "query_id", "query_vec").join(_table(spark, s, "user_voices").select("user_id", F.col("voice").cast("array<double>").alias("voice")), "user_id", "left")
+    blended = reports.blended_users(asked, _table(spark, s, "user_profiles"), s.dimension).withColumnRenamed("vec", "query_vec")
+    return q.drop("query_vec").join(blended, ["user_id", "query_id"]).select("split", "user_id", "query_parent_asin", "label", "history", "query_vec")
+
+
 def _candidates(spark, s):
-    split, items = _table(spark, s, "splits"), _items(spark, s)
-    held = split.filter("split <> 'train'").select("user_id", "parent_asin", "split", C.graded_label(F.col("rating")).alias("label"))
-    earlier = split.filter("split = 'train'").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list("parent_asin")), " ").alias("history"))
-    q = held.join(earlier, "user_id").select("user_id", F.col("parent_asin").alias("query_parent_asin"), "label", "history", "split")
-    q = users.history_vectors(q, items, ["user_id", "query_parent_asin"], s.dimension)
+    q, items = _table(spark, s, "queries"), _items(spark, s)
     unit = items.select("item", C.normalised(F.col("vec")).alias("vec"))
-    found = retrieval.exact_top_k(q.select(F.to_json(F.struct("user_id", "query_parent_asin")).alias("query_id"), F.col("query_vec").alias("vec")), unit, s.top_k)
-    key = F.from_json("query_id", "user_id string, query_parent_asin string")
-    r = found.select(key.alias("k"), F.col("item").alias("candidate_parent_asin"), F.col("score").alias("faiss_score"), F.col("rank").alias("faiss_rank")).select("k.*", "candidate_parent_asin", "faiss_score", "faiss_rank")
-    c = retrieval.candidates(r, q.select("user_id", "query_parent_asin", "label"), s.top_k)
-    return c.join(held.select("user_id", F.col("parent_asin").alias("query_parent_asin"), "split"), ["user_id", "query_parent_asin"])
+    key = ["split", "user_id", "query_parent_asin"]
+    found = retrieval.exact_top_k(q.select(F.to_json(F.struct(*key)).alias("query_id"), F.col("query_vec").alias("vec")), unit, s.top_k)
+    r = found.select(F.from_json("query_id", "split string, user_id string, query_parent_asin string").alias("k"), F.col("item").alias("candidate_parent_asin"), F.col("score").alias("faiss_score"), F.col("rank").alias("faiss_rank")).select("k.*", "candidate_parent_asin", "faiss_score", "faiss_rank")
+    of = lambda df, name: df.filter(F.col("split") == name).drop("split")
+    return _by_split(lambda name: retrieval.candidates(of(r, name), of(q.select(*key, "label"), name), s.top_k))
+
+
+def _by_split(make: Callable[[str], DataFrame]) -> DataFrame:
+    train, valid, test = (make(name).withColumn("split", F.lit(name)) for name in ("train", "valid", "test"))
+    return train.unionByName(valid).unionByName(test)
 
 
 def _features(spark, s):
     c, p, u = _table(spark, s, "candidates"), _table(spark, s, "products_nlp"), _table(spark, s, "user_profiles")
-    raw = features.raw_features(c.drop("split"), p, u, _items(spark, s), s.top_k, voices=_table(spark, s, "user_voices"), dimension=s.dimension)
-    scaled = features.scale_features(raw, features.stats_dict(features.feature_stats(p, u, s.top_k)))
-    return scaled.join(c.select(*features.KEYS[:3], "split"), features.KEYS[:3])
+    stats = features.stats_dict(features.feature_stats(p, u, s.top_k))
+
+    def one(name: str) -> DataFrame:
+        raw = features.raw_features(c.filter(F.col("split") == name).drop("split"), p, u, _items(spark, s), s.top_k, voices=_table(spark, s, "user_voices"), dimension=s.dimension)
+        return features.scale_features(raw, stats)
+
+    return _by_split(one)
 
 
 def _metrics(spark, s):
     rows = _table(spark, s, "features")
-    model = ranker.train(rows.filter("split = 'valid'").drop("split"), rounds=5)
-    test = model.score(rows.filter("split = 'test'").drop("split"), "model_score")
+    of = lambda name: rows.filter(F.col("split") == name).drop("split")
+    model = ranker.train(of("train"), of("valid"), rounds=s.rounds, depth=s.depth, patience=s.patience)
+    test = model.score(of("test"), "model_score")
     systems = {"random": evaluation.random_score("user_id", "query_parent_asin", "candidate_parent_asin"), "bm25": F.col("f31_bm25_score"), "ann": F.col("f01_faiss_score"), "model": F.col("model_score")}
     return evaluation.compare_systems(test, systems)
 
 
 STAGES = [
-    Stage("clean metadata", "meta", _meta), Stage("clean and prune reviews", "reviews", _reviews), Stage("split", "splits", _splits), Stage("histories", "train", _train), Stage("sentiment and aspects", "reviews_nlp", _scored),
+    Stage("clean metadata", "meta", _meta), Stage("clean and prune reviews", "reviews", _reviews), Stage("split", "splits", _splits), Stage("histories", "histories", _histories), Stage("sentiment and aspects", "reviews_nlp", _scored),
     Stage("product signals", "products_nlp", _products), Stage("product documents", "products_rich", _documents), Stage("product vectors", "item_embeddings", _vectors), Stage("user profiles", "user_profiles", _profiles),
-    Stage("user voices", "user_voices", _voices), Stage("candidates", "candidates", _candidates), Stage("features", "features", _features), Stage("evaluation", "metrics", _metrics),
+    Stage("user voices", "user_voices", _voices), Stage("queries", "queries", _queries), Stage("candidates", "candidates", _candidates), Stage("features", "features", _features), Stage("evaluation", "metrics", _metrics),
 ]
 
 

@@ -58,3 +58,38 @@ def test_pipeline_runs_and_skips(spark, tmp_path):
     assert len(spark.read.parquet(s.path("user_profiles")).columns) == 39
     done = {name for _, name, ok in pipeline.status(spark, s) if ok}
     assert "user_profiles" in done and "metrics" not in done
+
+
+def small_inputs(spark, s):
+    import random
+
+    rng = random.Random(1)
+    meta = [(f"p{i}", f"Title{i} saga", f"A great game about things{i}.", "fast. fun", 1.0 + i, "store", f"Games. C{i % 3}", 4.0, i) for i in range(12)]
+    spark.createDataFrame(meta, "parent_asin string, title string, description string, features string, price double, store string, categories string, average_rating double, rating_number long").write.parquet(s.path("raw_meta"))
+    rows = [(f"r{u}_{i}", f"u{u}", f"p{i}", float(rng.randint(1, 5)), f"The story {i} is great. Controls are bad!", 1_600_000_000_000 + 86_400_000 * (u * 30 + n), i % 3, True) for u in range(10) for n, i in enumerate(rng.sample(range(12), 6))]
+    spark.createDataFrame(rows, "review_id string, user_id string, parent_asin string, rating double, text string, timestamp long, helpful_vote long, verified_purchase boolean").write.parquet(s.path("raw_reviews"))
+
+
+@pytest.fixture(scope="module")
+def finished(spark, tmp_path_factory):
+    s = Settings(data_dir=str(tmp_path_factory.mktemp("whole")), min_reviews_per_user=2, min_reviews_per_item=1, top_k=5, dimension=8, rounds=4, patience=2)
+    small_inputs(spark, s)
+    pipeline.run(spark, s)
+    return s
+
+
+def test_pipeline_to_the_end(spark, finished):
+    read = lambda name: spark.read.parquet(finished.path(name))
+    splits, queries, candidates, features = read("splits"), read("queries"), read("candidates"), read("features")
+    assert sorted((r["split"], r["count"]) for r in splits.groupBy("split").count().collect()) == [("test", 10), ("train", 40), ("valid", 10)]
+    keys = lambda df, item: {(r.split, r.user_id, r[item]) for r in df.collect()}
+    assert keys(splits, "parent_asin") == keys(queries, "query_parent_asin") == keys(candidates, "query_parent_asin") == keys(features, "query_parent_asin")
+    assert features.count() == candidates.count()
+    held = {(r.user_id, r.parent_asin): r.split for r in splits.collect()}
+    for r in queries.collect():
+        earlier = [held[r.user_id, x] for x in r.history.split()]
+        assert r.query_parent_asin not in r.history.split() and set(earlier) <= {"train": {"train"}, "valid": {"train"}, "test": {"train", "valid"}}[r.split]
+        assert len(earlier) == {"valid": 4, "test": 5}.get(r.split, len(earlier))
+        assert sum(x * x for x in r.query_vec) == pytest.approx(1)  # users with an empty history have their profile
+    assert {r.system for r in read("metrics").collect()} == {"random", "bm25", "ann", "model"}
+    assert all(done for _, _, done in pipeline.status(spark, finished))
