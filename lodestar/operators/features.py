@@ -61,7 +61,8 @@ def raw_features(candidates: DataFrame, products: DataFrame, profiles: DataFrame
     """KEYS and f01..f31 of every candidate row; unknown values are null (they are filled when scaled).
 
     All joins are equi-joins on the user, the candidate or the query; Spark picks broadcast or shuffle by measured size. Cosines with a missing vector are 0, matches with a missing side 0.
-    ``query_vectors`` (user_id, query_parent_asin, query_vec); ``voices`` (user_id, voice); ``bm25`` (query_id, doc_id, bm25_scaled).
+    ``query_vectors`` (user_id, query_parent_asin, query_vec); ``voices`` (user_id, voice); ``bm25`` (user_id, query_parent_asin, candidate_parent_asin, bm25_scaled).
+    Without ``query_vectors`` the query item's own vector is taken; without ``voices`` f18 is 0, without ``bm25`` f31 is 0.
     """
     c = candidates.join(product_side(products), "candidate_parent_asin", "left").join(user_side(profiles, dimension), "user_id", "left")
     c = c.join(items.select(F.col("item").alias("candidate_parent_asin"), F.col("vec").alias("i_vec")), "candidate_parent_asin", "left")
@@ -71,7 +72,7 @@ def raw_features(candidates: DataFrame, products: DataFrame, profiles: DataFrame
         c = c.join(items.select(F.col("item").alias("query_parent_asin"), F.col("vec").alias("query_vec")), "query_parent_asin", "left")
     c = c.join(voices, "user_id", "left") if voices is not None else c.withColumn("voice", F.lit(None).cast("array<float>"))
     if bm25 is not None:
-        c = c.join(bm25.select(F.col("query_id").alias("query_parent_asin"), F.col("doc_id").alias("candidate_parent_asin"), "bm25_scaled"), ["query_parent_asin", "candidate_parent_asin"], "left")
+        c = c.join(bm25, KEYS[:3], "left")
     cosine = lambda v: F.coalesce(C.dot(F.col(v), F.col("i_vec")), F.lit(0.0))
     flag = lambda b: F.coalesce(b, F.lit(False)).cast("double")
     log = lambda v: F.when(F.col(v).isNotNull(), F.log1p(F.greatest(F.col(v), F.lit(0.0))))

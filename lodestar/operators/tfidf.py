@@ -63,9 +63,11 @@ def category_terms(products: DataFrame, reviews: DataFrame, max_features: int =
     return _top(weights, F.col("weight"), 10, "top_tfidf_phrases").join(_top(weights, F.col("weight") - F.col("centroid"), 5, "distinctive_terms"), "parent_asin", "full_outer")
 
 
-def bm25(queries: DataFrame, documents: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(queries: DataFrame, documents: DataFrame, k1: float = 1.5, b: float = 0.75, pairs: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, bm25, bm25_scaled): Okapi scores of the documents that share a word with a query; scaled by the query's best.
 
+    With ``pairs`` (query_id, doc_id) only those are scored (and scaled by their best), so that a common word doesn't meet all of its documents.
+
     ``queries`` (query_id, text) and ``documents`` (doc_id, text). Pairs come from the inverted index join on the term; each different query word counts once.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{2,}"), F.lit(0))
@@ -78,6 +80,9 @@ def bm25(queries: DataFrame, documents: DataFrame, k1: float = 1.5, b: float = 0
     postings = tf.join(asked.select("term").distinct(), "term", "left_semi").join(length, "doc_id").join(df, "term").crossJoin(F.broadcast(scalars))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scores = asked.join(postings.select("term", "doc_id", part.alias("part")), "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("bm25"))
+    on = ["term"]
+    if pairs is not None:
+        asked, on = asked.join(pairs.select("query_id", "doc_id").distinct(), "query_id"), ["term", "doc_id"]
+    scores = asked.join(postings.select("term", "doc_id", part.alias("part")), on).groupBy("query_id", "doc_id").agg(F.sum("part").alias("bm25"))
     best = scores.groupBy("query_id").agg(F.max("bm25").alias("_best"))
     return scores.join(best, "query_id").select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"), F.round(F.col("bm25") / F.col("_best"), 6).alias("bm25_scaled"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from lodestar.config import Settings
 from lodestar.functions import columns as C
-from lodestar.operators import cleaning, documents, evaluation, features, interactions, products, ranker, reports, retrieval, sentiment, users
+from lodestar.operators import cleaning, documents, evaluation, features, interactions, products, ranker, reports, retrieval, sentiment, tfidf, users
+from lodestar.session import cut_lineage
 from lodestar.sources import readers, sinks
 
 
@@ -103,12 +104,28 @@ def _by_split(make: Callable[[str], DataFrame]) -> DataFrame:
     return train.unionByName(valid).unionByName(test)
 
 
+def _title_scores(spark, s, candidates: DataFrame) -> DataFrame:
+    """(split, user_id, query_parent_asin, candidate_parent_asin, bm25_scaled): titles of the query's history against titles and descriptions of its candidates."""
+    key = ["split", "user_id", "query_parent_asin"]
+    products = _table(spark, s, "products_nlp")
+    titles = products.filter("title is not null").select(F.col("parent_asin").alias("item"), "title")
+    history = _table(spark, s, "queries").select(F.to_json(F.struct(*key)).alias("query_id"), F.explode(C.tokens(F.col("history"))).alias("item"))
+    asked = history.join(titles, "item").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("title")), " ").alias("text"))
+    docs = products.select(F.col("parent_asin").alias("doc_id"), F.concat_ws(" ", "title", "description").alias("text"))
+    pairs = candidates.select(F.to_json(F.struct(*key)).alias("query_id"), F.col("candidate_parent_asin").alias("doc_id"))
+    found = tfidf.bm25(asked, docs, pairs=pairs)
+    return found.select(F.from_json("query_id", "split string, user_id string, query_parent_asin string").alias("k"), F.col("doc_id").alias("candidate_parent_asin"), "bm25_scaled").select("k.*", "candidate_parent_asin", "bm25_scaled")
+
+
 def _features(spark, s):
     c, p, u = _table(spark, s, "candidates"), _table(spark, s, "products_nlp"), _table(spark, s, "user_profiles")
     stats = features.stats_dict(features.feature_stats(p, u, s.top_k))
+    words = cut_lineage(_title_scores(spark, s, c))
 
     def one(name: str) -> DataFrame:
-        raw = features.raw_features(c.filter(F.col("split") == name).drop("split"), p, u, _items(spark, s), s.top_k, voices=_table(spark, s, "user_voices"), dimension=s.dimension)
+        of = lambda df: df.filter(F.col("split") == name).drop("split")
+        vectors = of(_table(spark, s, "queries")).select("user_id", "query_parent_asin", "query_vec")
+        raw = features.raw_features(of(c), p, u, _items(spark, s), s.top_k, vectors, _table(spark, s, "user_voices"), of(words), s.dimension)
         return features.scale_features(raw, stats)
 
     return _by_split(one)

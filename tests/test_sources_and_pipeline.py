@@ -93,3 +93,23 @@ def test_pipeline_to_the_end(spark, finished):
         assert sum(x * x for x in r.query_vec) == pytest.approx(1)  # users with an empty history have their profile
     assert {r.system for r in read("metrics").collect()} == {"random", "bm25", "ann", "model"}
     assert all(done for _, _, done in pipeline.status(spark, finished))
+
+
+def test_features_have_history_vectors_voices_and_words(spark, finished):
+    rows = spark.read.parquet(finished.path("features")).collect()
+    own = [r for r in rows if r.query_parent_asin == r.candidate_parent_asin]
+    assert any(r.f03_query_item_cosine < 0.99 for r in own)  # the query is not the held-out item itself
+    for name in ("f18_user_item_voice_cosine", "f31_bm25_score"):
+        assert len({r[name] for r in rows}) > 1 and all(0 <= r[name] <= 1 for r in rows)
+    first = {(r.split, r.user_id, r.query_parent_asin) for r in spark.read.parquet(finished.path("queries")).collect() if not r.history}
+    assert first and all(r.f31_bm25_score == 0 for r in rows if (r.split, r.user_id, r.query_parent_asin) in first)
+
+
+def test_bm25_of_given_pairs(spark):
+    from lodestar.operators import tfidf
+
+    q = spark.createDataFrame([("q", "red fox"), ("r", "blue")], "query_id string, text string")
+    docs = spark.createDataFrame([("a", "red fox red"), ("b", "red car"), ("c", "blue fox")], "doc_id string, text string")
+    every = {(r.query_id, r.doc_id): r.bm25 for r in tfidf.bm25(q, docs).collect()}
+    got = {(r.query_id, r.doc_id): (r.bm25, r.bm25_scaled) for r in tfidf.bm25(q, docs, pairs=spark.createDataFrame([("q", "b"), ("q", "c"), ("r", "a")], "query_id string, doc_id string")).collect()}
+    assert set(got) == {("q", "b"), ("q", "c")} and all(v[0] == every[k] for k, v in got.items()) and max(v[1] for v in got.values()) == 1
