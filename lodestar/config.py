@@ -70,7 +70,7 @@ class Settings:
     token_budget: int = 512
     dimension: int = 64
     nlist: int = 64
-    nprobe: int = 8
+    nprobe: int | None = None  # chosen for the recall
     top_k: int = 200
     recency_lambda: float = 0.01
     tier3_query_weight: float = 0.7

@@ -116,7 +116,13 @@ def self_recall(spark: SparkSession, d: str) -> DataFrame:
 
 def ivf_topk(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
-    return retrieval.ivf_top_k(_vec_queries(t), _vec_items(t), TOP_K, nlist=32, nprobe=16)
+    return retrieval.ivf_top_k(_vec_queries(t), _vec_items(t), TOP_K, nlist=32)
+
+
+def ivf_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of ivf_topk against exact_topk."""
+    t = Tables(spark, d)
+    return retrieval.recall_at_k(ivf_topk(spark, d), retrieval.exact_top_k(_vec_queries(t), _vec_items(t), TOP_K))
 
 
 def home_feed(spark: SparkSession, d: str) -> DataFrame:
@@ -290,7 +296,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         user_interactions, user_preferences, user_review_signals, user_vectors, cold_start_tiers, tier_distribution, profile_table, lambda_diagnostic, blended_queries, vector_norms, norm_check, exact_topk, single_query_topk,
-        self_recall, ivf_topk, home_feed, candidates_forced, features_wide, feature_stats, features_scaled, feature_nulls, query_metrics, query_counts, system_comparison, relative_improvement, version_comparison, ablation_metrics,
+        self_recall, ivf_topk, ivf_recall, home_feed, candidates_forced, features_wide, feature_stats, features_scaled, feature_nulls, query_metrics, query_counts, system_comparison, relative_improvement, version_comparison, ablation_metrics,
         bootstrap_std, lambdamart_rerank, cold_start_boost, diverse_users, user_report, product_comparison, rich_docs, token_statistics, voice_docs, query_understanding, text_vectors, search_text,
     )
 }

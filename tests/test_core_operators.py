@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +199,16 @@ def test_exact_percentiles(spark, hot_rows):
     got = exact_percentiles(df, F.col("v"), [0.05, 0.25, 0.75, 0.9], "q", hot_rows).first().q
     assert got == pytest.approx(list(np.percentile(x, [5, 25, 75, 90])))
     assert exact_percentiles(df.limit(0), F.col("v"), [0.5], "q", hot_rows).first().q == [None]
+
+
+def test_inverted_file_reaches_the_recall(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    items = spark.createDataFrame([(f"i{i:04d}", v.tolist()) for i, v in enumerate(x)], "item string, vec array<double>")
+    queries = items.filter("substr(item, 4) in ('00', '50')").withColumnRenamed("item", "query_id")
+    exact = retrieval.exact_top_k(queries, items, 10)
+    row = retrieval.recall_at_k(retrieval.ivf_top_k(queries, items, 10), exact).first()
+    assert row.n_queries == queries.count() and row.recall >= 0.9
+    assert retrieval.recall_at_k(retrieval.ivf_top_k(queries, items, 10, nprobe=1), exact).first().recall < 0.9
+    assert retrieval.ivf_top_k(queries.limit(0), items, 10).count() == 0
