@@ -9,6 +9,7 @@ are read once, whole, without a shuffle.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +27,9 @@ UNKNOWN = "und"
 RADIUS = 0.3
 #: Least distance to the best other language, as a share of the best cosine, for a sentence to count as evidence.
 MARGIN = 0.05
-#: Mean confidence that a passage in another than the main language needs to count as present.
-SURE = 0.2
+#: Mean lead over the main language that a passage in another one needs to count as present, as a share of the least lead of held-out samples between the two languages.
+SHARE = 0.5
+FOLDS = 2
 ROWS_A_BATCH = 256
 
 #: Names and codes of the languages, lower case.
@@ -58,6 +60,11 @@ def _clean(text: str) -> str:
     return " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
 
 
+def _unaccented(text: str) -> str:
+    """Latin letters without their accents."""
+    return "".join(b if (b := unicodedata.normalize("NFD", c)[0]).isascii() else c for c in text)
+
+
 def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, dimension, count) of every n-gram of every cleaned text, sorted by row."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
@@ -80,12 +87,17 @@ def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Centroids:
-    """``matrix`` (DIMENSIONS x k, idf folded in once), its languages, radii, and idf."""
+    """``matrix`` (DIMENSIONS x k, idf folded in once), its languages, radii, and idf; ``leads``: by the sorted languages, the least lead of held-out samples of one over another."""
 
     matrix: np.ndarray
     idf: np.ndarray
     langs: list[str]
     radii: np.ndarray
+    leads: np.ndarray
+
+    @property
+    def names(self) -> list[str]:
+        return sorted(set(self.langs))
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Cosine of every text with every centroid."""
@@ -101,14 +113,22 @@ class Centroids:
         out[rows[starts]] = np.add.reduceat(self.matrix[dims] * w[:, None], starts) / np.maximum(norm, 1e-9)[:, None]
         return out
 
+    def by_language(self, s: np.ndarray) -> np.ndarray:
+        """Best cosine of every text with each of the sorted languages."""
+        names = self.names
+        where = np.array([names.index(x) for x in self.langs])
+        return np.stack([np.where(where == i, s, -1).max(1) for i in range(len(names))], 1)
+
     def best(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language or ``und``, confidence 0..1, margin to the next language) per text."""
+        return self.judged(texts)[:3]
+
+    def judged(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """``best`` and the lead over every language beyond what a passage needs."""
         s = self.scores(texts)
         if not self.langs or not len(texts):
-            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-        names = sorted(set(self.langs))
-        where = np.array([names.index(x) for x in self.langs])
-        by = np.stack([np.where(where == i, s, -1).max(1) for i in range(len(names))], 1)
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros((len(texts), len(self.names)))
+        names, by = self.names, self.by_language(s)
         order = np.argsort(-by, axis=1, kind="stable")
         top = by[np.arange(len(s)), order[:, 0]]
         second = by[np.arange(len(s)), order[:, 1]] if len(names) > 1 else np.zeros(len(s))
@@ -116,15 +136,40 @@ class Centroids:
         margin = np.where(top > 0, (top - np.maximum(second, 0)) / np.maximum(top, 1e-9), 0)
         rejected = top < self.radii[near]
         lang = [UNKNOWN if r else names[o] for r, o in zip(rejected, order[:, 0])]
-        return lang, np.where(rejected, 0, np.clip(margin, 0, 1)), margin
+        lead = (top[:, None] - np.maximum(by, 0)) / np.maximum(top, 1e-9)[:, None]
+        return lang, np.where(rejected, 0, np.clip(margin, 0, 1)), margin, lead - SHARE * self.leads[order[:, 0]]
 
 
 def fit(samples: DataFrame, centroids: int = CENTROIDS, max_samples: int = MAX_SAMPLES) -> Centroids:
     """Fit on the ``max_samples`` samples with the smallest ids (a bounded sample by design). Null or unusable samples are left out; none at all rejects everything."""
     rows = samples.select("sample_id", normal_label(F.col("lang")).alias("lang"), "text").orderBy("sample_id").limit(max_samples).collect()
     rows = [(r.lang, _clean(r.text)) for r in rows if r.lang and r.text and any(c.isalpha() for c in r.text)]
+    rows.sort(key=lambda r: r[0])  # every fold gets its part of each language
+    model = _fitted(rows, centroids)
+    for fold in range(FOLDS if rows else 0):
+        held = _with_unaccented(rows[fold::FOLDS])
+        other = _fitted([x for i, x in enumerate(rows) if i % FOLDS != fold], centroids)
+        if other.names != model.names:
+            model.leads[:] = 0  # too few samples to hold any out
+            break
+        by = np.maximum(other.by_language(other.scores([t for _, t in held])), 0)
+        own = np.array([model.names.index(name) for name, _ in held])
+        lead = 1 - by / np.maximum(by[np.arange(len(held)), own], 1e-9)[:, None]
+        for i in set(own):
+            model.leads[i] = np.minimum(model.leads[i], lead[own == i].min(0))
+    model.leads = np.clip(model.leads, 0, 1)
+    return model
+
+
+def _with_unaccented(rows: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The samples, and those with accents again without: accents get lost in documents."""
+    return rows + [(name, bare) for name, t in rows if (bare := _unaccented(t)) != t]
+
+
+def _fitted(rows: list[tuple[str, str]], centroids: int) -> Centroids:
     if not rows:
-        return Centroids(np.zeros((DIMENSIONS, 0), np.float32), np.ones(DIMENSIONS), [], np.zeros(0))
+        return Centroids(np.zeros((DIMENSIONS, 0), np.float32), np.ones(DIMENSIONS), [], np.zeros(0), np.zeros((0, 0)))
+    rows = _with_unaccented(rows)
     r, d, c = _features([t for _, t in rows])
     df = np.bincount(d, minlength=DIMENSIONS)
     idf = np.log((1 + len(rows)) / (1 + df)) + 1
@@ -152,7 +197,8 @@ def fit(samples: DataFrame, centroids: int = CENTROIDS, max_samples: int = MAX_S
             radii.append(RADIUS * (near[member == j, j].min() if (member == j).any() else 0.0))
     matrix = np.zeros((DIMENSIONS, len(langs)), np.float32)
     matrix[dims] = np.stack(columns, 1)
-    return Centroids(matrix, idf.astype(np.float32), langs, np.array(radii))
+    n = len(set(langs))
+    return Centroids(matrix, idf.astype(np.float32), langs, np.array(radii), np.ones((n, n)))
 
 
 def _sentences(text: str) -> list[tuple[int, int]]:
@@ -170,41 +216,42 @@ def _words(text: str) -> int:
     return sum(any(c.isalnum() for c in w) for w in text.split())
 
 
-def _segments(text: str, spans: list, langs: dict, conf: dict, margin: dict, words: dict) -> list[dict]:
+def _segments(text: str, spans: list, langs: dict, conf: dict, margin: dict, words: dict, lead: dict) -> list[dict]:
     """Neighbouring sentences of one language merged; a sentence without evidence of its own joins the passage it stands in."""
     out: list[dict] = []
     for i, (a, b) in enumerate(spans):
         sure = i in langs and langs[i] != UNKNOWN and margin[i] >= MARGIN
         if sure and (not out or out[-1]["lang"] not in (langs[i], None)):
-            out.append({"start": a, "stop": b, "lang": langs[i], "conf": conf[i] * words[i], "words": words[i], "sentences": 1})
+            out.append({"start": a, "stop": b, "lang": langs[i], "conf": conf[i] * words[i], "lead": lead[i] * words[i], "words": words[i], "sentences": 1})
             continue
         if not out:
-            out.append({"start": a, "stop": b, "lang": None, "conf": 0.0, "words": 0, "sentences": 0})
+            out.append({"start": a, "stop": b, "lang": None, "conf": 0.0, "lead": 0.0, "words": 0, "sentences": 0})
         s = out[-1]
         s["stop"] = b
         if sure:
             s["lang"] = langs[i]
             s["conf"] += conf[i] * words[i]
+            s["lead"] = s["lead"] + lead[i] * words[i]
             s["words"] += words[i]
             s["sentences"] += 1
     return out
 
 
-SEGMENTS = "segments array<struct<start:int,stop:int,lang:string,confidence:double,words:int,sentences:int>>"
+SEGMENTS = "segments array<struct<start:int,stop:int,lang:string,confidence:double,words:int,sentences:int,lead:double>>"
 
 
 def classify(documents: DataFrame, samples: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """(id, lang_label, lang, confidence, segments) of every document.
 
     Evidence is a sentence of at least ``LEAST_WORDS`` words that is nearer to one language than to any other by ``MARGIN``; ``lang`` is the language with most words in such
-    sentences (ties: alphabetical). ``sentences`` of a segment counts them. If no sentence is sure, those of at least ``LEAST_WORDS`` words are judged together;
+    sentences (ties: alphabetical). ``sentences`` of a segment counts them, ``lead`` is their mean lead over ``lang`` beyond what a passage needs (0 for ``lang`` itself). If no sentence is sure, those of at least ``LEAST_WORDS`` words are judged together;
     a text without such a sentence is classified as a whole (one segment, 0 sentences).
     Null texts, texts without letters and rejected ones give ``und``, confidence 0, no segments.
     ``start``/``stop`` are character offsets.
     """
     model = documents.sparkSession.sparkContext.broadcast(fit(samples))
     kind = documents.schema[id_column].dataType
-    types = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("words", pa.int32()), ("sentences", pa.int32())]))
+    types = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("words", pa.int32()), ("sentences", pa.int32()), ("lead", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -236,13 +283,13 @@ def _classified(m: Centroids, batch: pa.RecordBatch, id_column: str, types: pa.D
     lang: list[dict] = [{} for _ in texts]
     conf: list[dict] = [{} for _ in texts]
     margin: list[dict] = [{} for _ in texts]
-
+    lead: list[dict] = [{} for _ in texts]
 
     def judge(jobs: list[tuple[int, int, str]]) -> None:
         for a in range(0, len(jobs), 2048):
             part = jobs[a : a + 2048]
-            for (d, i, _), name, c, g in zip(part, *m.best([t for _, _, t in part])):
-                lang[d][i], conf[d][i], margin[d][i] = name, float(c), float(g)
+            for (d, i, _), name, c, g, over in zip(part, *m.judged([t for _, _, t in part])):
+                lang[d][i], conf[d][i], margin[d][i], lead[d][i] = name, float(c), float(g), over
 
     judge(jobs)
     # no sentence of a text is sure by itself: its sentences are judged together
@@ -254,9 +301,9 @@ def _classified(m: Centroids, batch: pa.RecordBatch, id_column: str, types: pa.D
         if together in lang[d]:
             name, c = lang[d][together], conf[d][together]
             n = len(words_of[d]) if together == -2 else 0
-            segs = [] if name == UNKNOWN else [{"start": 0, "stop": len(text), "lang": name, "confidence": c, "words": _words(text), "sentences": n}]
+            segs = [] if name == UNKNOWN else [{"start": 0, "stop": len(text), "lang": name, "confidence": c, "words": _words(text), "sentences": n, "lead": 0.0}]
         else:
-            segs = [s for s in _segments(text or "", spans_of[d], lang[d], conf[d], margin[d], words_of[d]) if s["lang"]]
+            segs = [s for s in _segments(text or "", spans_of[d], lang[d], conf[d], margin[d], words_of[d], lead[d]) if s["lang"]]
             segs = [{**s, "confidence": s.pop("conf") / s["words"]} for s in segs]
             total: dict[str, list[float]] = {}
             for s in segs:
@@ -265,6 +312,7 @@ def _classified(m: Centroids, batch: pa.RecordBatch, id_column: str, types: pa.D
                 t[1] += s["words"] * s["confidence"]
             name = min(total, key=lambda x: (-total[x][0], x)) if total else UNKNOWN
             c = total[name][1] / total[name][0] if total else 0.0
+            segs = [{**s, "lead": 0.0 if s["lang"] == name else float(s["lead"][m.names.index(name)] / s["words"])} for s in segs]
         out_lang.append(name)
         out_conf.append(c)
         out_segments.append(segs)
@@ -276,7 +324,7 @@ def _classified(m: Centroids, batch: pa.RecordBatch, id_column: str, types: pa.D
 
 def label_faults(classified: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """(id, lang): every language present in a document whose label is missing, is not its main language, or whose text is in several."""
-    present = F.array_distinct(F.transform(F.filter("segments", lambda s: (s["sentences"] > 0) & ((s["lang"] == F.col("lang")) | (s["confidence"] >= SURE))), lambda s: s["lang"]))
+    present = F.array_distinct(F.transform(F.filter("segments", lambda s: (s["sentences"] > 0) & ((s["lang"] == F.col("lang")) | (s["lead"] >= 0))), lambda s: s["lang"]))
     with_langs = classified.withColumn("_present", present).withColumn("_label", normal_label(F.col("lang_label")))
     faulty = F.col("_label").isNull() | (F.col("_label") != F.col("lang")) | (F.size("_present") > 1)
     return with_langs.filter(faulty).select(id_column, F.explode("_present").alias("lang"))

@@ -104,3 +104,17 @@ def test_labels(spark):
     given = ["en", " EN", "en_GB", "eng", "English", "pt-BR", "Deutsch", "und", "", "-", None, "sv", "??", "dut", "FRE"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, l string").select("i", L.normal_label(F.col("l")).alias("n"))
     assert [r.n for r in df.orderBy("i").collect()] == ["en"] * 5 + ["pt", "de"] + [None] * 6 + ["nl", "fr"]
+
+
+def test_close_languages_in_mixed_texts(spark):
+    path = "/root/testdata/sf0.001/lang_samples.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no samples")
+    s = spark.read.parquet(path)
+    fitted, held = s.filter("sample_id % 2 = 0"), s.filter("sample_id % 2 = 1").collect()
+    main = [r.text for r in held if r.lang == "en"]
+    rows = [(i, f"{main[i % 20]}\n{main[(i + 1) % 20]}\n{main[(i + 2) % 20]}\n{main[(i + 3) % 20]}\n{t}", "en") for i, t in enumerate(t for r in held if r.lang in ("pt", "es") for t in (r.text, L._unaccented(r.text)))]
+    langs = [x for r in held if r.lang in ("pt", "es") for x in (r.lang, r.lang)]
+    found = {(r.doc_id, r.lang) for r in L.label_faults(L.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fitted)).collect()}
+    missed = [i for i, x in enumerate(langs) if (i, x) not in found and L._words(rows[i][1].split("\n")[-1]) >= L.LEAST_WORDS]
+    assert len(langs) >= 100 and len(missed) <= 0.03 * len(langs)
