@@ -212,3 +212,12 @@ def test_inverted_file_reaches_the_recall(spark):
     assert row.n_queries == queries.count() and row.recall >= 0.9
     assert retrieval.recall_at_k(retrieval.ivf_top_k(queries, items, 10, nprobe=1), exact).first().recall < 0.9
     assert retrieval.ivf_top_k(queries.limit(0), items, 10).count() == 0
+
+
+def test_self_recall_is_of_the_index(spark, monkeypatch):
+    from lodestar.plans import model_queries
+
+    asked = []
+    ivf = retrieval.ivf_top_k
+    monkeypatch.setattr(retrieval, "ivf_top_k", lambda *a, **k: asked.append(k) or ivf(*a, **k).filter("item <> query_id"))
+    assert model_queries.self_recall(spark, "/root/testdata/sf0.001").first().self_recall == 0 and asked == [{"nlist": 32}]
