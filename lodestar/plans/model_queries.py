@@ -227,7 +227,7 @@ def ablation_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_std(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.bootstrap_std(evaluation.query_metrics(_labelled(Tables(spark, d)), "f01_faiss_score"), rounds=200)
+    return evaluation.bootstrap_std(evaluation.query_metrics(_labelled(Tables(spark, d)), "f01_faiss_score"))
 
 
 def lambdamart_rerank(spark: SparkSession, d: str) -> DataFrame:

@@ -221,3 +221,9 @@ def test_self_recall_is_of_the_index(spark, monkeypatch):
     ivf = retrieval.ivf_top_k
     monkeypatch.setattr(retrieval, "ivf_top_k", lambda *a, **k: asked.append(k) or ivf(*a, **k).filter("item <> query_id"))
     assert model_queries.self_recall(spark, "/root/testdata/sf0.001").first().self_recall == 0 and asked == [{"nlist": 32}]
+
+
+def test_registered_bootstrap_draws_a_thousand_rounds(spark):
+    from lodestar.plans import model_queries
+
+    assert model_queries.bootstrap_std(spark, "/root/testdata/sf0.001").first().rounds == 1000
