@@ -109,3 +109,10 @@ def train(rows: DataFrame, valid: DataFrame | None = None, features: list[str] |
 def sample_queries(rows: DataFrame, share: float, seed: int = 42) -> DataFrame:
     """Whole queries whose hash falls under ``share``; groups are never cut."""
     return rows.filter(F.pmod(F.xxhash64(*QUERY, F.lit(seed)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+
+
+def split_queries(rows: DataFrame, valid: float = 0.2, test: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(train, valid, test) by the hash of the query; groups are never cut, null ids form queries too."""
+    place = F.pmod(F.xxhash64(*QUERY, F.lit(seed)), F.lit(1_000_000))
+    first, second = int(test * 1_000_000), int((test + valid) * 1_000_000)
+    return rows.filter(place >= second), rows.filter((place >= first) & (place < second)), rows.filter(place < first)

@@ -227,3 +227,16 @@ def test_registered_bootstrap_draws_a_thousand_rounds(spark):
     from lodestar.plans import model_queries
 
     assert model_queries.bootstrap_std(spark, "/root/testdata/sf0.001").first().rounds == 1000
+
+
+def test_rerank_is_judged_on_held_out_queries(spark, monkeypatch):
+    from lodestar.plans import model_queries
+
+    seen = {}
+    train, score = ranker.train, ranker.Ranker.score
+    ids = lambda df: {(r.user_id, r.query_parent_asin) for r in df.select("user_id", "query_parent_asin").distinct().collect()}
+    monkeypatch.setattr(ranker, "train", lambda rows, valid=None, **k: seen.update(train=ids(rows), valid=ids(valid) if valid is not None else set(), given=k) or train(rows, valid, **{**k, "rounds": 2}))
+    monkeypatch.setattr(ranker.Ranker, "score", lambda self, rows, *a: seen.update(test=ids(rows)) or score(self, rows, *a))
+    model_queries.lambdamart_rerank(spark, "/root/testdata/sf0.01").first()
+    assert seen["train"] and seen["valid"] and seen["test"] and seen["given"] == {"rounds": 50, "depth": 5, "patience": 10}
+    assert not seen["train"] & seen["valid"] and not (seen["train"] | seen["valid"]) & seen["test"]
