@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.operators import cleaning, sentiment
-from lodestar.session import read_table, spread_small
+from lodestar.session import read_table, spread
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -37,7 +37,7 @@ class Tables:
         return cleaning.clean_reviews(self.raw("reviews"))
 
     def scored(self) -> DataFrame:
-        return sentiment.score_by_bag(spread_small(self.reviews()))
+        return sentiment.score_by_bag(spread(self.reviews()))
 
     def products(self) -> DataFrame:
         """products_nlp with floats widened, NaN as null."""

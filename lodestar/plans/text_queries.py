@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.config import ASPECT_KEYWORDS, ASPECTS, LEXICON
 from lodestar.operators import cleaning, interactions, products, sentiment, tfidf
 from lodestar.plans.catalog import Tables, rounded
-from lodestar.session import cut_lineage, spread_small
+from lodestar.session import cut_lineage, spread
 from lodestar.plans.oracle_base import META, REVIEWS, SCORED, bag, num, nums, parts, tokens
 
 CORE_K = 3
@@ -64,7 +64,7 @@ def aspect_sentiment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rule_sentiment(spark: SparkSession, d: str) -> DataFrame:
-    return sentiment.score_by_rules(spread_small(Tables(spark, d).reviews()))
+    return sentiment.score_by_rules(spread(Tables(spark, d).reviews()))
 
 
 def sentiment_distribution(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +76,7 @@ def aspect_hit_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def emotion_vocab(spark: SparkSession, d: str) -> DataFrame:
-    return sentiment.emotion_vocabulary(spread_small(Tables(spark, d).reviews()))
+    return sentiment.emotion_vocabulary(spread(Tables(spark, d).reviews()))
 
 
 def item_base_agg(spark: SparkSession, d: str) -> DataFrame:
@@ -133,7 +133,7 @@ def product_table(spark: SparkSession, d: str) -> DataFrame:
 def _weights(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     listed = products.listing_columns(t.meta()).select("parent_asin", "leaf_category")
-    return tfidf.category_weights(listed, spread_small(t.reviews()))
+    return tfidf.category_weights(listed, spread(t.reviews()))
 
 
 def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
@@ -143,7 +143,7 @@ def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
 def tfidf_top_terms(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     listed = products.listing_columns(t.meta()).select("parent_asin", "leaf_category")
-    return tfidf.category_terms(listed, spread_small(t.reviews()))
+    return tfidf.category_terms(listed, spread(t.reviews()))
 
 
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:

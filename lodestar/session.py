@@ -17,19 +17,26 @@ def get_session(app: str = "lodestar", master: str | None = None, **conf: str) -
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
 
     Only where that setting is absent and the master is this very process (tests) a temporary
     folder is used; on a cluster without the setting this raises rather than write to one machine.
+    The shuffle files of what is written are removed at once, since nothing reads them again; the
+    checkpoint itself goes when nothing refers to it any more (``spark.cleaner.referenceTracking.cleanCheckpoints``).
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -37,27 +44,28 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="lodestar-checkpoint-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=eager)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        return df.checkpoint(eager=eager)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-SMALL_BYTES = 64 << 20
+#: Setting that names the number of partitions CPU-bound inputs are spread over, for tables that come as fewer pieces than there are cores.
+PARTITIONS = "spark.lodestar.input.partitions"
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """A frame whose estimated size is small, over all cores: a small table often is one file and one partition, which would leave a CPU-bound stage to one core.
-
-    Beyond ``SMALL_BYTES`` the frame is returned as it is, so large inputs get no extra shuffle.
-    """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(n) if size < SMALL_BYTES else df
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The frame in ``partitions`` partitions (default: the setting ``PARTITIONS``; neither: as it is), whatever its size."""
+    n = partitions or int(df.sparkSession.conf.get(PARTITIONS, "0"))
+    return df.repartition(n) if n > 0 else df
 
 
 def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for CPU-bound stages: spread over the cores if it is small and has fewer files than there are cores."""
-    df = read_table(spark, sf_dir, name)
-    return spread_small(df) if len(df.inputFiles()) < spark.sparkContext.defaultParallelism else df
+    """A table for CPU-bound stages, spread if the session's settings say so."""
+    return spread(read_table(spark, sf_dir, name))
