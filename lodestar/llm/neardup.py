@@ -1,10 +1,13 @@
 """Near-duplicate texts: MinHash bands, Bayesian pruning of candidates, exact verification.
 
-Texts with the same set of shingles form a class and are one node (the fingerprint of the set), so copies never meet in a bucket. Nodes that
-share a band are candidates. Candidate pairs are compared on ``SKETCH`` MinHash values, a chunk at a time: with m of n values equal,
-the posterior probability (uniform prior) that the similarity reaches the threshold is a binomial tail, and a pair is dropped as soon as it falls
-below ``TOLERANCE``. What is left is verified on the whole shingle sets. A bucket of more than ``HOT`` nodes is never expanded in one task: its nodes are cut
-into blocks, and each pair of blocks is compared on the sketches in a task group of its own, so that only surviving pairs are emitted.
+Texts with the same set of shingles form a class and are one node (the fingerprint of the set). One pass over the texts writes, for each, its node, one key per
+band and a sketch; everything up to the verification works on these. Nodes that share a band are candidates. A posting carries the sketch, so that candidates are compared
+where they meet: 2 bits of each of ``SKETCH`` MinHash values, a chunk at a time. With m of n values equal, the posterior probability (uniform prior) that the similarity
+reaches the threshold is a binomial tail, and a pair is dropped as soon as it falls below ``TOLERANCE``. Only what is left leaves the task; it is verified on the whole shingle sets.
+
+Postings travel as packed blocks, one for each part of the key space, and the bands in rounds, so that the shuffle files of one round are gone before the next. A bucket of more than ``HOT``
+nodes is not compared pair by pair: its nodes are banded again, each of their other bands joined to the one they share. Only nodes that share two bands with more than
+``HOT`` others are compared by pairs of blocks.
 """
 
 from __future__ import annotations
@@ -15,17 +18,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import shingles as sh
 from lodestar.session import cut_lineage
 
 WORDS, THRESHOLD, LEAST_WORDS = 5, 0.8, 5
-MISSED, LEAST_BANDS, MOST_ROWS, MOST_HASHES = 1e-3, 24, 5, 450
-SKETCH, CHUNK, TOLERANCE = 64, 16, 1e-4
-HOT = 256
-TEXTS_A_STEP = 512
+MISSED, LEAST_BANDS, MOST_ROWS, MOST_HASHES = 1e-3, 24, 5, 200
+SKETCH, CHUNK, TOLERANCE = 80, 16, 1e-4
+HOT, BLOCK = 512, 2048
+TEXTS_A_STEP, NODES_A_BLOCK, BANDS_A_ROUND = 512, 16_384, 13
+#: Postings a task holds before it sends large buckets on.
+HELD = 4_000_000
+
+POSTING = np.dtype([("key", "<u4"), ("node", "<i8"), *[(f"s{i}", "<u4") for i in range(SKETCH // CHUNK)]])
 
 
 def banding(threshold: float) -> tuple[int, int]:
@@ -41,9 +48,9 @@ def banding(threshold: float) -> tuple[int, int]:
 def least_matches(threshold: float, n: int, tolerance: float = TOLERANCE) -> int:
     """Fewest equal values of ``n`` with which the posterior of reaching ``threshold`` is at least ``tolerance``.
 
-    One byte of each value is kept, so unequal values agree with probability 1/256. Under a uniform prior the posterior is P(Bin(n + 1, p) <= m).
+    Two bits of each value are kept, so unequal values agree with probability 1/4. Under a uniform prior the posterior is P(Bin(n + 1, p) <= m).
     """
-    p, tail = threshold + (1 - threshold) / 256, 0.0
+    p, tail = threshold + (1 - threshold) / 4, 0.0
     for m in range(n + 1):
         tail += math.comb(n + 1, m) * p**m * (1 - p) ** (n + 1 - m)
         if tail >= tolerance:
@@ -55,198 +62,274 @@ def _schedule(threshold: float) -> list[tuple[int, int]]:
     return [(n, least_matches(threshold, n)) for n in range(CHUNK, SKETCH + 1, CHUNK)]
 
 
-def prune(a: np.ndarray, b: np.ndarray, schedule: list[tuple[int, int]]) -> np.ndarray:
-    """Indices of the rows of two sketch matrices that survive; later chunks are compared only where earlier ones left the pair alive."""
-    alive, matches, done = np.arange(len(a)), np.zeros(len(a), np.int32), 0
-    for n, least in schedule:
-        matches[alive] += (a[alive, done:n] == b[alive, done:n]).sum(1, dtype=np.int32)
-        alive, done = alive[matches[alive] >= least], n
+def packed_sketch(values: np.ndarray) -> np.ndarray:
+    """Two low bits of each of ``SKETCH`` values, ``CHUNK`` of them in a word: (rows, words) of 32 bits."""
+    bits = (values & np.uint32(3)).reshape(len(values), -1, CHUNK)
+    return (bits << (2 * np.arange(CHUNK, dtype=np.uint32))).sum(2, dtype=np.uint32)
+
+
+def prune(x: list[np.ndarray], a: np.ndarray, b: np.ndarray, schedule: list[tuple[int, int]]) -> np.ndarray:
+    """Indices of the pairs (a, b) of rows of the sketch ``x`` (one array per word) that survive; later words are compared only where earlier ones left the pair alive."""
+    alive, matches = np.arange(len(a)), np.zeros(len(a), np.int32)
+    for word, (_, least) in zip(x, schedule):
+        d = word[a[alive]] ^ word[b[alive]]
+        now = matches[alive] + (CHUNK - np.bitwise_count((d | (d >> np.uint32(1))) & np.uint32(0x55555555)).astype(np.int32))
+        keep = now >= least
+        alive = alive[keep]
+        matches[alive] = now[keep]
     return alive
 
 
-def _texts(docs: DataFrame, schema: str, words: int, least_words: int, emit) -> DataFrame:
-    """Run ``emit(rows, hashes, text index, fingerprints, field salts)`` over steps of texts with at least ``least_words`` words."""
+def _binary(rows: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Slices of a structured array as binary values; ``cuts`` are the n + 1 borders."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * rows.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
+def _unpacked(column: pa.Array, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(x for x in column.to_pylist() if x), kind)
+
+
+def signatures(docs: DataFrame, words: int, least_words: int, threshold: float) -> DataFrame:
+    """(field, id, digest, node, keys, sketch) of every text that takes part: its class, band keys (32 bits each) and sketch. One pass over the texts, no shuffle."""
+    bands, length = banding(threshold)
+    band_mults, sketch_mults = sh.multipliers(bands * length, 1), sh.multipliers(SKETCH, 2)
+    least = max(least_words, words)
+
+    def signed(rows: pa.RecordBatch, h: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
+        n = rows.num_rows
+        fields = np.array(rows.column(0).to_pylist())
+        h, t = sh.distinct(h, t)
+        prints, salts = np.zeros(n, np.int64), np.zeros(n, np.uint64)  # texts of different fields share neither classes nor buckets
+        for f in sorted(set(fields)):
+            own, salt = fields == f, zlib.crc32(f.encode())
+            prints[own] = sh.fingerprints(h, t, n, salt)[own]
+            salts[own] = np.uint64(salt)
+        _, values = sh.minhash(h, t, np.r_[band_mults, sketch_mults])  # every text here has shingles
+        keys = (sh.mix64(sh.band_keys(values[:, : bands * length], length).view(np.uint64) + salts[:, None]) >> np.uint64(32)).astype("<u4")
+        sketch = packed_sketch(values[:, bands * length :]).astype("<u4")
+        packed = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * x.shape[1]), n, [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary()) for x in (keys, sketch)]
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(3), pa.array(prints), *packed], names=["field", "id", "digest", "node", "keys", "sketch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS_A_STEP):
                 batch = whole.slice(at, TEXTS_A_STEP)
-                texts = batch.column(2).to_pylist()
-                hashes, text, counts = sh.shingle_hashes(texts, words)
-                keep = counts >= max(least_words, words)
+                hashes, text, counts = sh.shingle_hashes(batch.column(2).to_pylist(), words)
+                keep = counts >= least
                 chosen = np.flatnonzero(keep)
-                if not len(chosen):
-                    continue
-                within = keep[text]
-                place = np.cumsum(keep) - 1
-                rows = batch.take(pa.array(chosen))
-                prints = np.zeros(len(chosen), np.int64)
-                fields = np.array(rows.column(0).to_pylist())
-                h, t = hashes[within], place[text[within]]
-                salts = np.zeros(len(chosen), np.uint64)  # texts of different fields share neither classes nor buckets
-                for f in sorted(set(fields)):
-                    own = fields == f
-                    salts[own] = np.uint64(zlib.crc32(f.encode()))
-                    prints[own] = sh.fingerprints(h, t, len(chosen), zlib.crc32(f.encode()))[own]
-                yield from emit(rows, h, t, prints, salts)
-
-    return docs.select("field", "id", "text").mapInArrow(run, schema)
-
+                if len(chosen):
+                    within = keep[text]
+                    yield signed(batch.take(pa.array(chosen)), hashes[within], (np.cumsum(keep) - 1)[text[within]])
 
-def members(docs: DataFrame, words: int, least_words: int) -> DataFrame:
-    """(field, id, node): the class of every text that takes part."""
+    # a text of w words has at least 2w - 1 characters; shorter ones need not leave the JVM
+    return _digested(docs).filter(F.length("text") >= 2 * least - 1).mapInArrow(run, "field string, id string, digest bigint, node bigint, keys binary, sketch binary")
 
-    def emit(rows, h, t, prints, salts):
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(prints)], names=["field", "id", "node"])
 
-    return _texts(docs, "field string, id string, node bigint", words, least_words, emit)
+def _digested(docs: DataFrame) -> DataFrame:
+    return docs.select("field", "id", "text", F.xxhash64("text").alias("digest"))
 
 
-def _first_of_each(prints: np.ndarray) -> np.ndarray:
-    return np.unique(prints, return_index=True)[1]
+def _parts(df: DataFrame) -> int:
+    """Parts of the key space: as many as the session has shuffle partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _bands(docs: DataFrame, words: int, least_words: int, threshold: float) -> DataFrame:
-    bands, length = banding(threshold)
-    mults = sh.multipliers(bands * length, 1)
+def _blocks_of(postings: np.ndarray, parts: int) -> pa.RecordBatch:
+    """One packed block for each part that has postings."""
+    postings = postings[np.argsort(postings["key"], kind="stable")]
+    part = ((postings["key"].astype(np.uint64) * np.uint64(parts)) >> np.uint64(32)).astype(np.int32)
+    cuts = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
+    return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), _binary(postings, cuts)], names=["part", "postings"])
 
-    def emit(rows, h, t, prints, salts):
-        which, values = sh.minhash(h, t, mults)
-        once = _first_of_each(prints[which])  # copies in one step leave it once
-        keys = sh.mix64(sh.band_keys(values[once], length).view(np.uint64) + salts[which][once][:, None]).view(np.int64)
-        node = np.repeat(prints[which][once], bands)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(node)], names=["band", "node"])
 
-    return _texts(docs, "band bigint, node bigint", words, least_words, emit)
+def _filled(node: np.ndarray, sketch: np.ndarray, row: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    out = np.empty(len(row), POSTING)
+    out["key"], out["node"] = keys, node[row]
+    for i in range(sketch.shape[1]):
+        out[f"s{i}"] = sketch[row, i]
+    return out
 
 
-def _sketches(docs: DataFrame, words: int, least_words: int) -> DataFrame:
-    mults = sh.multipliers(SKETCH, 2)
+def _postings(signed: DataFrame, lo: int, hi: int, parts: int) -> DataFrame:
+    """Packed postings of the bands ``lo`` to ``hi`` - 1. Copies leave a block of nodes once."""
 
-    def emit(rows, h, t, prints, salts):
-        which, values = sh.minhash(h, t, mults)
-        once = _first_of_each(prints[which])
-        data = (values[once] & np.uint32(255)).astype(np.uint8)
-        sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH), len(data), [None, pa.py_buffer(data.tobytes())]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(prints[which][once]), sketch], names=["node", "sketch"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    raw = _texts(docs, "node bigint, sketch binary", words, least_words, emit)
-    return raw.groupBy("node").agg(F.first("sketch").alias("sketch"))  # copies have equal sketches
+        def block() -> pa.RecordBatch:
+            node, keys, sketch = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            once = np.unique(node, return_index=True)[1]
+            row = np.repeat(once, hi - lo)
+            return _blocks_of(_filled(node, sketch, row, keys[once].reshape(-1)), parts)
 
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(n, -1)[:, lo:hi]
+                held.append((batch.column(0).to_numpy(), keys, np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(n, -1)))
+            if sum(len(x[0]) for x in held) >= NODES_A_BLOCK:
+                yield block()
+        if held:
+            yield block()
 
-def _node_texts(docs: DataFrame, words: int, least_words: int) -> DataFrame:
-    def emit(rows, h, t, prints, salts):
-        once = _first_of_each(prints)
-        yield pa.RecordBatch.from_arrays([pa.array(prints[once]), rows.column(2).take(pa.array(once))], names=["node", "text"])
+    return signed.select("node", "keys", "sketch").mapInArrow(run, "part int, postings binary")
 
-    return _texts(docs, "node bigint, text string", words, least_words, emit)
 
+def _again(signed: DataFrame, hot: DataFrame, parts: int) -> DataFrame:
+    """Packed postings of the nodes of large buckets, under the shared band together with each of their other bands."""
+    keys_of = hot.groupBy("node").agg(F.collect_set("key").alias("hot"))  # one entry per band at most
+    own = signed.select("node", "keys", "sketch").dropDuplicates(["node"]).join(keys_of, "node")
 
-_PAIRS = "a bigint, b bigint, band bigint, block int"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                n = batch.num_rows
+                keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(n, -1).astype(np.uint64)
+                sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(n, -1)
+                shared = np.stack([np.isin(k, h) for k, h in zip(keys, batch.column(3).to_pylist())])
+                i, j = np.triu_indices(keys.shape[1], 1)
+                row, at_pair = np.nonzero(shared[:, i] | shared[:, j])
+                both = sh.mix64(sh.mix64(keys[row, i[at_pair]] + np.uint64(1)) + keys[row, j[at_pair]] * np.uint64(0x9E3779B97F4A7C15))
+                if len(row):
+                    yield _blocks_of(_filled(batch.column(0).to_numpy(), sketch, row, (both >> np.uint64(32)).astype("<u4")), parts)
+
+    return own.select("node", "keys", "sketch", "hot").mapInArrow(run, "part int, postings binary")
+
+
+def _bucket_pairs(postings: np.ndarray, schedule: list[tuple[int, int]]) -> np.ndarray:
+    """Surviving pairs of postings sorted by key, as (n, 2) nodes; a step holds no more pairs than there are postings."""
+    key, node, x = postings["key"], np.ascontiguousarray(postings["node"]), [np.ascontiguousarray(postings[f"s{i}"]) for i in range(SKETCH // CHUNK)]
+    found, i, d = [], np.arange(len(key) - 1 if len(key) else 0), 1
+    while True:
+        i = i[i + d < len(key)]
+        i = i[key[i] == key[i + d]]
+        if not len(i):
+            break
+        keep = i[prune(x, i, i + d, schedule)]
+        found.append(np.stack([np.minimum(node[keep], node[keep + d]), np.maximum(node[keep], node[keep + d])], 1))
+        d += 1
+    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+
+
+def _compact(postings: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """(postings of buckets with up to ``hot`` nodes, those of larger ones), sorted by key, each node of a bucket once."""
+    order = np.lexsort((postings["node"], postings["key"]))
+    p = postings[order]
+    fresh = np.ones(len(p), bool)
+    fresh[1:] = (p["key"][1:] != p["key"][:-1]) | (p["node"][1:] != p["node"][:-1])
+    p = p[fresh]
+    first = np.flatnonzero(np.r_[True, p["key"][1:] != p["key"][:-1]]) if len(p) else np.empty(0, np.int64)
+    size = np.diff(np.r_[first, len(p)])
+    large = np.repeat(size > hot, size)
+    return p[~large], p[large]
+
+
+def _candidates(postings: DataFrame, parts: int, threshold: float) -> DataFrame:
+    """(pairs, large): packed surviving pairs of nodes, and packed postings of the buckets of more than ``HOT`` nodes."""
+    schedule, hot, held_most = _schedule(threshold), HOT, HELD
+    nothing = pa.nulls(1, pa.binary())
+
+    def packed(pairs: np.ndarray | None, large: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        for rows, at in ((pairs, 0), (large, 1)):
+            for a in range(0, 0 if rows is None else len(rows), 65_536):
+                both = [nothing, nothing]
+                both[at] = pa.array([np.ascontiguousarray(rows[a : a + 65_536]).tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays(both, names=["pairs", "large"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n, most, known = 0, held_most, np.empty(0, np.uint32)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(_unpacked(batch.column(1), POSTING))
+            n += len(held[-1])
+            if n > most:  # large buckets pass through; what stays has at most ``hot`` nodes a bucket
+                p = np.concatenate(held)
+                sent = np.isin(p["key"], known)
+                yield from packed(None, p[sent])
+                small, large = _compact(p[~sent], hot)
+                yield from packed(None, large)
+                known = np.union1d(known, large["key"])
+                held, n = [small], len(small)
+                most = max(held_most, 2 * n)
+        if held:
+            p = np.concatenate(held)
+            sent = np.isin(p["key"], known)
+            small, large = _compact(p[~sent], hot)
+            yield from packed(_bucket_pairs(small, schedule), np.concatenate([p[sent], large]))
+
+    return postings.repartitionById(parts, "part").mapInArrow(run, "pairs binary, large binary")
+
+
+def _pair_rows(found: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = _unpacked(batch.column(0), np.dtype("<i8")).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], names=["a", "b"])
 
-def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    n = len(a)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names=["a", "b", "band", "block"]
-    )
+    return found.filter("pairs is not null").select("pairs").mapInArrow(run, "a bigint, b bigint")
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (band, node) -> pairs of small buckets; nodes of large ones with the number of their block."""
-    band, node = np.empty(0, np.int64), np.empty(0, np.int64)
-    hot, seen = None, 0  # the large bucket being passed through, and its rows so far
-
-    def hot_rows(nodes: np.ndarray, key: int, at: int) -> pa.RecordBatch:
-        n = len(nodes)
-        blocks = ((at + np.arange(n)) // HOT).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.nulls(n, pa.int64()), pa.array(np.full(n, key)), pa.array(blocks)], names=["a", "b", "band", "block"])
-
-    def closed(band: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-        new = np.r_[True, band[1:] != band[:-1]]
-        size = np.diff(np.r_[np.flatnonzero(new), len(band)])
-        group = np.cumsum(new) - 1
-        for g in np.flatnonzero(size > HOT):
-            yield hot_rows(node[group == g], int(band[group == g][0]), 0)
-        small = (size[group] > 1) & (size[group] <= HOT)
-        bs, ns = band[small], node[small]
-        for d in range(1, HOT):
-            same = np.flatnonzero(bs[d:] == bs[:-d])
-            if not len(same):
-                break
-            yield _pair_batch(ns[same], ns[same + d])
-
-    for batch in batches:
-        b, n = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        fresh = np.ones(len(b), bool)  # equal rows are neighbours: copies from different steps
-        fresh[1:] = (b[1:] != b[:-1]) | (n[1:] != n[:-1])
-        if len(band) and len(b) and b[0] == band[-1] and n[0] == node[-1]:
-            fresh[0] = False
-        b, n = b[fresh], n[fresh]
-        if hot is not None and len(b):
-            more = int((b != hot).argmax()) if (b != hot).any() else len(b)
-            if more:
-                yield hot_rows(n[:more], hot, seen)
-                seen += more
-                band, node = b[more - 1 : more], n[more - 1 : more]
-            b, n = b[more:], n[more:]
-            if len(b):
-                hot, band, node = None, np.empty(0, np.int64), np.empty(0, np.int64)
-        if not len(b):
-            continue
-        band, node = np.r_[band, b], np.r_[node, n]
-        last = len(band) - int((band[::-1] != band[-1]).argmax()) if (band != band[-1]).any() else 0
-        if last:
-            yield from closed(band[:last], node[:last])
-            band, node = band[last:], node[last:]
-        if len(band) > HOT:
-            hot, seen = int(band[-1]), len(band)
-            yield hot_rows(node, hot, 0)
-            band, node = band[-1:], node[-1:]
-    if hot is None and len(band):
-        yield from closed(band, node)
-
-
-def _pruned(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    schedule = _schedule(threshold)
+def _large_rows(found: DataFrame) -> DataFrame:
+    """(key, node, sketch) of large buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3))
-                keep = pa.array(prune(x, y, schedule))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
+            p = _unpacked(batch.column(0), POSTING)
+            sketch = np.stack([p[f"s{i}"] for i in range(SKETCH // CHUNK)], 1)
+            width = 4 * sketch.shape[1]
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(p), [None, pa.py_buffer(sketch.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(p["key"].astype(np.int64)), pa.array(np.ascontiguousarray(p["node"])), packed], names=["key", "node", "sketch"])
 
-    with_a = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
-    with_b = with_a.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-    return with_b.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return found.filter("large is not null").select("large").mapInArrow(run, "key bigint, node bigint, sketch binary")
 
 
-def _hot_pairs(hot: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Surviving pairs of the large buckets, by pairs of blocks."""
+def _by_blocks(large: DataFrame, threshold: float) -> DataFrame:
+    """Surviving pairs (a, b) of buckets of any size, by pairs of blocks of about ``BLOCK`` nodes."""
     schedule = _schedule(threshold)
-    blocks = hot.groupBy("band").agg((F.max("block") + 1).alias("blocks"))
-    rows = hot.join(sketches, hot["a"] == sketches["node"]).join(blocks, "band")
-    spread = rows.select(
-        "band", "node", "sketch", "block",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j")))).alias("cell"),
-    ).select("band", "node", "sketch", "block", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"))
+    sizes = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = large.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j")))
+    spread = rows.select("key", "node", "sketch", "block", F.explode(cells).alias("cell")).select("key", "node", "sketch", "block", "cell.i", "cell.j")
 
     def cell(table: pa.Table) -> pa.Table:
-        node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        node, at = table.column("node").to_numpy(), table.column("block").to_numpy()
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u4").reshape(len(node), -1)
+        x = [np.ascontiguousarray(sketch[:, i]) for i in range(sketch.shape[1])]
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        found_a, found_b = [], []
-        for at, x in enumerate(left):
-            others = right[at + 1 :] if i == j else right
-            keep = others[prune(np.broadcast_to(sketch[x], (len(others), SKETCH)), sketch[others], schedule)]
-            found_a.append(np.full(len(keep), node[x]))
-            found_b.append(node[keep])
-        a, b = (np.concatenate(z).astype(np.int64) if z else np.empty(0, np.int64) for z in (found_a, found_b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return spread.groupBy("band", "i", "j").applyInArrow(cell, "a bigint, b bigint")
+        left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
+        found = [np.empty((0, 2), np.int64)]
+        for n, row in enumerate(left):
+            others = right[n + 1 :] if i == j else right
+            keep = others[prune(x, np.full(len(others), row), others, schedule)]
+            found.append(np.stack([np.minimum(node[row], node[keep]), np.maximum(node[row], node[keep])], 1))
+        pairs = np.concatenate(found)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return spread.groupBy("key", "i", "j").applyInArrow(cell, "a bigint, b bigint")
+
+
+def _survivors(signed: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), each once: pairs of different nodes that share a band and whose sketches leave the threshold possible."""
+    bands, parts = banding(threshold)[0], _parts(signed)
+    found = []
+    for lo in range(0, bands, BANDS_A_ROUND):
+        once = cut_lineage(_candidates(_postings(signed, lo, min(bands, lo + BANDS_A_ROUND), parts), parts, threshold))
+        found.append(_pair_rows(once))
+        hot = _large_rows(once).select("key", "node").distinct()
+        if not hot.isEmpty():
+            twice = cut_lineage(_candidates(_again(signed, hot, parts), parts, threshold))
+            found.append(_pair_rows(twice))
+            left = _large_rows(twice).dropDuplicates(["key", "node"])
+            if not left.isEmpty():
+                found.append(_by_blocks(left, threshold))
+    pairs = found[0]
+    for f in found[1:]:
+        pairs = pairs.unionByName(f)
+    return cut_lineage(pairs.filter("a <> b").distinct())
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -274,24 +357,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float)
     return with_b.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, jaccard double")
 
 
-def class_links(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(a, b, jaccard), a < b: links between classes of texts (columns field, id, text of ``docs``) of one field at or above the threshold.
+def _texts_of(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, text): one text of every node of ``pairs``."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    first = signed.groupBy("node").agg(F.min(F.struct("field", "id", "digest")).alias("r")).join(needed, "node", "left_semi").select("node", "r.*")
+    own = _digested(docs)
+    same: Column = own["field"].eqNullSafe(first["field"]) & own["id"].eqNullSafe(first["id"]) & (own["digest"] == first["digest"])
+    return own.join(first, same).select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
+
+
+def classes_and_links(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
+    """((field, id, node): the class of every text that takes part; (a, b, jaccard), a < b: links between classes of one field at or above the threshold).
 
-    Texts with fewer than ``least_words`` words (or fewer than one shingle), null and empty ones take no part. Links inside a class (similarity 1) are implied by
-    ``members``. Empty table: no rows.
+    ``docs`` has the columns field, id, text. Texts with fewer than ``least_words`` words (or fewer than one shingle), null and empty ones take no part. Links inside a class
+    (similarity 1) are implied by its members. Empty table: no rows.
     """
-    bands = _bands(docs, words, least_words, threshold)
-    raw = bands.repartition("band").sortWithinPartitions("band", "node").mapInArrow(_bucket_pairs, _PAIRS)
-    candidates = cut_lineage(raw.dropDuplicates())
-    sketches = _sketches(docs, words, least_words)
-    alive = _pruned(candidates.filter("band is null").select("a", "b"), sketches, threshold)
-    hot = candidates.filter("band is not null").select("a", "band", "block")
-    if not hot.isEmpty():
-        alive = alive.unionByName(_hot_pairs(hot, sketches, threshold)).dropDuplicates()
-    alive = cut_lineage(alive)
-    needed = alive.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = _node_texts(docs, words, least_words).join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    return _verified(alive, texts, words, threshold)
+    signed = cut_lineage(signatures(docs, words, least_words, threshold))
+    pairs = _survivors(signed, threshold)
+    return signed.select("field", "id", "node"), _verified(pairs, _texts_of(docs, signed, pairs), words, threshold)
 
 
 def review_and_description_texts(reviews: DataFrame, meta: DataFrame) -> DataFrame:
@@ -312,19 +395,18 @@ def similar_pairs(docs: DataFrame, words: int, threshold: float, least_words: in
 
     The result of a class of n copies has n * (n - 1) / 2 rows by definition; ``groups`` is the form that stays linear.
     """
-    who = cut_lineage(members(docs, words, least_words))
-    links = class_links(docs, words, threshold, least_words)
+    who, links = classes_and_links(docs, words, threshold, least_words)
     a, b = who.select("field", F.col("id").alias("ia"), F.col("node").alias("a")), who.select(F.col("id").alias("ib"), F.col("node").alias("b"))
     across = links.join(a, "a").join(b, "b").select("field", F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
     inside = a.join(b, F.col("a") == F.col("b")).filter("ia < ib").select("field", F.col("ia").alias("id_a"), F.col("ib").alias("id_b"))
     return across.unionByName(inside)
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root) of every node of ``edges`` (a, b): the least node it is connected with, by alternating large and small stars."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of ``edges`` (a, b): the least node it is connected with, by alternating large and small stars until nothing changes."""
     now = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     state = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -345,8 +427,8 @@ def groups(docs: DataFrame, words: int, threshold: float, least_words: int) -> D
 
     ``group_id`` is the least id of the texts connected with it by links; ``n_links`` counts the other texts at or above the threshold (its copies and all members of linked classes).
     """
-    who = cut_lineage(members(docs, words, least_words))
-    links = cut_lineage(class_links(docs, words, threshold, least_words).select("a", "b"))
+    who, links = classes_and_links(docs, words, threshold, least_words)
+    links = cut_lineage(links.select("a", "b"))
     sizes = who.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least"))
     two = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = two.join(sizes.select(F.col("node").alias("b"), "size"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("near"))

@@ -78,41 +78,66 @@ def test_bands_follow_the_threshold(spark):
     assert len(want) == 200 and got <= want and len(got) >= 198
 
 
-def test_large_buckets_go_through_blocks(spark, monkeypatch):
+def test_large_buckets_are_banded_again_and_go_through_blocks(spark, monkeypatch):
     rows = corpus(60)
     rows += [("a", f"h{i:03d}", rows[0][2] + f" tail{i} more{i}") for i in range(40)]
     df = spark.createDataFrame(rows, "field string, id string, text string")
-    plain = {tuple(r) for r in N.similar_pairs(df, 3, 0.5, 10).select("field", "id_a", "id_b").collect()}
+    pairs = lambda: {tuple(r) for r in N.similar_pairs(df, 3, 0.5, 10).select("field", "id_a", "id_b").collect()}
+    plain, want = pairs(), brute(rows, 3, 0.5, 10)
+    seen = []
+    by_blocks = N._by_blocks
+    monkeypatch.setattr(N, "HOT", 1)
+    monkeypatch.setattr(N, "BLOCK", 7)
+    monkeypatch.setattr(N, "HELD", 50)
+    monkeypatch.setattr(N, "_by_blocks", lambda *a: seen.append(1) or by_blocks(*a))
+    forced = pairs()
+    assert seen and len(want) > 700
+    assert plain <= want and forced <= want and len(want - plain) <= 2 and len(want - forced) <= 2
+
+
+def test_postings_of_large_buckets_pass_through(spark, monkeypatch):
     monkeypatch.setattr(N, "HOT", 5)
+    monkeypatch.setattr(N, "HELD", 10)
+    key, node = np.repeat([1, 2, 3], [4, 23, 1]).astype(np.uint32), np.arange(28)
+    postings = N._filled(node, np.zeros((28, 5), "<u4"), np.arange(28), key)
+    order = np.random.default_rng(0).permutation(28)
+    rows = [(0, postings[o : o + 1].tobytes()) for o in [*order, *order[:9]]]
+    df = spark.createDataFrame(rows, "part int, postings binary")
+    found = N._candidates(df, 1, 0.5)
+    assert {tuple(r) for r in N._pair_rows(found).collect()} == set(combinations(range(4), 2))
+    assert sorted({r.node for r in N._large_rows(found).collect()}) == list(range(4, 27))
+
+
+def test_recall_in_every_bin(spark):
+    rng = random.Random(8)
+    rows, group = [], 0
+    for shared in range(68, 101, 2):  # similarity 0.5 to 0.98
+        for _ in range(40):
+            text = [f"x{rng.randrange(10**9)}" for _ in range(101)]
+            rows += [("a", f"p{group:04d}", " ".join(text)), ("a", f"q{group:04d}", " ".join([*text[:shared], *[f"y{rng.randrange(10**9)}" for _ in range(101 - shared)]]))]
+            group += 1
+    want = brute_pairs_by_number(rows)
+    df = spark.createDataFrame(rows, "field string, id string, text string")
+    got = {r.id_a[1:] for r in N.similar_pairs(df, 3, 0.5, 10).collect()}
+    for low in np.arange(0.5, 1, 0.05):
+        own = [n for n, j in want.items() if low <= j < low + 0.05]
+        assert not own or sum(n in got for n in own) >= 0.97 * len(own), low
 
-    def direct(batches):
-        return N._bucket_pairs(batches)
-
-    import pyarrow as pa
 
-    band, node = np.repeat([1, 2, 3], [4, 23, 1]), np.arange(28)
-    out = pa.Table.from_batches(list(direct(pa.RecordBatch.from_arrays([pa.array(band[i : i + 6]), pa.array(node[i : i + 6])], names=["band", "node"]) for i in range(0, 28, 6)))).to_pandas()
-    pairs = out[out.band.isna()]
-    hot = out[out.band.notna()]
-    assert {(a, b) for a, b in zip(pairs.a, pairs.b)} == set(combinations(range(4), 2))
-    assert sorted(hot.a) == list(range(4, 27)) and hot.block.max() == 4
-    sketches = N._sketches(df, 3, 10)
-    nodes = [r.node for r in N.members(df, 3, 10).select("node").distinct().collect()]
-    hot_rows = spark.createDataFrame([(n, 7, i // 5) for i, n in enumerate(sorted(nodes))], "a bigint, band bigint, block int")
-    found = {(r.a, r.b) for r in N._hot_pairs(hot_rows, sketches, 0.5).collect()}
-    links = {(r.a, r.b) for r in N.class_links(df, 3, 0.5, 10).collect()}
-    assert links and links <= found
-    assert plain
+def brute_pairs_by_number(rows):
+    sets = {i: {tuple(w[j : j + 3]) for j in range(len(w) - 2)} for _, i, t in rows for w in [words(t)]}
+    return {n: len(sets["p" + n] & sets["q" + n]) / len(sets["p" + n] | sets["q" + n]) for n in {i[1:] for i in sets}}
 
 
 def test_pruning_keeps_similar_pairs():
     schedule = N._schedule(0.5)
-    assert [n for n, _ in schedule] == [16, 32, 48, 64] and all(0 < m < n * 0.5 for n, m in schedule)
+    assert [n for n, _ in schedule] == [16, 32, 48, 64, 80] and all(0 < m < n * 0.625 for n, m in schedule)
     rng = np.random.default_rng(0)
-    a = rng.integers(0, 256, (2000, 64), dtype=np.uint8)
-    b = np.where(rng.random(a.shape) < 0.6, a, rng.integers(0, 256, a.shape, dtype=np.uint8))
-    assert len(N.prune(a, b, schedule)) > 1990
-    assert len(N.prune(a, rng.permutation(a), schedule)) < 60
+    a = rng.integers(0, 2**32, (2000, 80), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < 0.6, a, rng.integers(0, 2**32, a.shape, dtype=np.uint32))
+    x = list(N.packed_sketch(np.concatenate([a, b])).T)
+    assert len(N.prune(x, np.arange(2000), np.arange(2000, 4000), schedule)) > 1990
+    assert len(N.prune(x, np.arange(2000), 2000 + rng.permutation(2000), schedule)) < 60
 
 
 def test_groups_are_components(spark):
