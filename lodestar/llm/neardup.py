@@ -26,8 +26,8 @@ from lodestar.session import cut_lineage
 
 WORDS, THRESHOLD, LEAST_WORDS = 5, 0.8, 5
 MISSED, LEAST_BANDS, MOST_ROWS, MOST_HASHES = 1e-3, 24, 5, 200
-SKETCH, CHUNK, TOLERANCE = 80, 16, 1e-4
-HOT, BLOCK = 512, 2048
+SKETCH, CHUNK, TOLERANCE = 112, 16, 1e-4
+HOT, BLOCK = 4096, 2048
 TEXTS_A_STEP, NODES_A_BLOCK, BANDS_A_ROUND = 512, 16_384, 13
 #: Postings a task holds before it sends large buckets on.
 HELD = 4_000_000

@@ -99,7 +99,7 @@ def test_postings_of_large_buckets_pass_through(spark, monkeypatch):
     monkeypatch.setattr(N, "HOT", 5)
     monkeypatch.setattr(N, "HELD", 10)
     key, node = np.repeat([1, 2, 3], [4, 23, 1]).astype(np.uint32), np.arange(28)
-    postings = N._filled(node, np.zeros((28, 5), "<u4"), np.arange(28), key)
+    postings = N._filled(node, np.zeros((28, 7), "<u4"), np.arange(28), key)
     order = np.random.default_rng(0).permutation(28)
     rows = [(0, postings[o : o + 1].tobytes()) for o in [*order, *order[:9]]]
     df = spark.createDataFrame(rows, "part int, postings binary")
@@ -131,9 +131,9 @@ def brute_pairs_by_number(rows):
 
 def test_pruning_keeps_similar_pairs():
     schedule = N._schedule(0.5)
-    assert [n for n, _ in schedule] == [16, 32, 48, 64, 80] and all(0 < m < n * 0.625 for n, m in schedule)
+    assert [n for n, _ in schedule] == list(range(16, 113, 16)) and all(0 < m < n * 0.625 for n, m in schedule)
     rng = np.random.default_rng(0)
-    a = rng.integers(0, 2**32, (2000, 80), dtype=np.uint32)
+    a = rng.integers(0, 2**32, (2000, 112), dtype=np.uint32)
     b = np.where(rng.random(a.shape) < 0.6, a, rng.integers(0, 2**32, a.shape, dtype=np.uint32))
     x = list(N.packed_sketch(np.concatenate([a, b])).T)
     assert len(N.prune(x, np.arange(2000), np.arange(2000, 4000), schedule)) > 1990
