@@ -98,12 +98,11 @@ def signatures(docs: DataFrame, words: int, least_words: int, threshold: float)
     def signed(rows: pa.RecordBatch, h: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
         n = rows.num_rows
         fields = np.array(rows.column(0).to_pylist())
-        h, t = sh.distinct(h, t)
-        prints, salts = np.zeros(n, np.int64), np.zeros(n, np.uint64)  # texts of different fields share neither classes nor buckets
+        h, t = sh.shingle_sets(h, t)
+        salts = np.zeros(n, np.uint64)  # texts of different fields share neither classes nor buckets
         for f in sorted(set(fields)):
-            own, salt = fields == f, zlib.crc32(f.encode())
-            prints[own] = sh.fingerprints(h, t, n, salt)[own]
-            salts[own] = np.uint64(salt)
+            salts[fields == f] = np.uint64(zlib.crc32(f.encode()))
+        prints = sh.mix64(sh.fingerprints(h, t, n) + salts).view(np.int64)
         _, values = sh.minhash(h, t, np.r_[band_mults, sketch_mults])  # every text here has shingles
         keys = (sh.mix64(sh.band_keys(values[:, : bands * length], length).view(np.uint64) + salts[:, None]) >> np.uint64(32)).astype("<u4")
         sketch = packed_sketch(values[:, bands * length :]).astype("<u4")

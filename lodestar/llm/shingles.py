@@ -59,24 +59,41 @@ def distinct(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h[keep], t[keep]
 
 
-def fingerprints(hashes: np.ndarray, text: np.ndarray, n: int, salt: int) -> np.ndarray:
-    """64-bit fingerprint of each text's set of shingles (order and repetition don't matter)."""
-    h, t = distinct(hashes, text)
-    out = np.zeros(n, np.uint64)
-    np.add.at(out, t, mix64(h + np.uint64(salt)))
-    return mix64(out + np.bincount(t, minlength=n).astype(np.uint64)).view(np.int64)
+def shingle_sets(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``distinct`` by one plain sort: the lowest bits of a hash, as many as number the texts, are dropped."""
+    if not len(text):
+        return hashes, text
+    bits = np.uint64(max(1, int(text.max()).bit_length()))
+    both = (text.astype(np.uint64) << (np.uint64(64) - bits)) | (hashes >> bits)
+    both.sort()
+    keep = np.ones(len(both), bool)
+    keep[1:] = both[1:] != both[:-1]
+    both = both[keep]
+    return both << bits, (both >> (np.uint64(64) - bits)).astype(np.int64)
+
+
+def fingerprints(hashes: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """64-bit fingerprint of each text's set of shingles, given as ``distinct`` gives them."""
+    kept = mix64(hashes & np.uint64(0xFFFFFFFFFFFF0000))  # the same bits whatever the number of texts in the step
+    out, starts = np.zeros(n, np.uint64), np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(text) else np.empty(0, np.int64)
+    if len(text):
+        out[text[starts]] = np.add.reduceat(kept, starts)
+    return mix64(out + np.bincount(text, minlength=n).astype(np.uint64))
 
 
 def multipliers(n: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.random.default_rng(seed).integers(1, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def minhash(hashes: np.ndarray, text: np.ndarray, mults: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(texts that have shingles, their MinHash values: one row per text, one column per multiplier)."""
     starts = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(text) else np.empty(0, np.int64)
     out = np.empty((len(starts), len(mults)), np.uint32)
+    upper, product = np.ascontiguousarray((hashes >> np.uint64(32)).astype(np.uint32)), np.empty(len(hashes), np.uint32)
     for j, m in enumerate(mults):
-        out[:, j] = np.minimum.reduceat((hashes * m).view(np.uint32)[1::2], starts) if len(starts) else 0
+        if len(starts):
+            np.multiply(upper, m, out=product)
+            out[:, j] = np.minimum.reduceat(product, starts)
     return text[starts], out
 
 
