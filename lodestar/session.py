@@ -47,7 +47,7 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     before = spark.conf.get(_CLEAN_UP, "false")
     spark.conf.set(_CLEAN_UP, "true")
     try:
-        return df.checkpoint(eager=eager)
+        return df.select("*").checkpoint(eager=eager)  # a new frame: the setting is read where a frame is made
     finally:
         spark.conf.set(_CLEAN_UP, before)
 
