@@ -57,11 +57,31 @@ def test_copies_share_their_neighbours(spark):
     assert got["copy3"] == want["copy3"] and got["v0000"] == want["v0000"]
 
 
-def test_long_files_are_cut_into_blocks(spark, monkeypatch):
+def test_members_of_long_files_are_posted_under_more_pivots(spark, monkeypatch):
+    monkeypatch.setattr(S, "FILE", 16)
+    for n in (300, 3000):  # ten times the vectors: no vector has more postings
+        rows = vectors(n)
+        df = frame(spark, rows)
+        pivots = spark.sparkContext.broadcast(S.choose_pivots(df.withColumnRenamed("id", "cls"), n, 64)[:32])
+        placed = S.with_nearest_pivots(df.selectExpr("xxhash64(id) AS cls", "vec"), pivots, 5, 64)
+        posted = S.file_postings(placed, 5, 16)
+        per_vector = [r["count"] for r in posted.groupBy("cls").count().collect()]
+        assert len(per_vector) == len(rows) and max(per_vector) <= 10
+        lengths = posted.filter("blocks = 1").groupBy("key").count().agg({"count": "max"}).first()[0]
+        assert lengths is None or lengths <= 16
     rows = vectors(300)
-    plain = collect(S.nearest(frame(spark, rows)))
-    monkeypatch.setattr(S, "BLOCK", 16)
-    assert collect(S.nearest(frame(spark, rows))) == plain
+    assert agreement(collect(S.nearest(frame(spark, rows))), brute(rows, 5, 0.85)) >= 0.95
+
+
+def test_one_dense_cell_is_searched_exactly(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=64)
+    rows = {f"v{i:03d}": (centre + rng.normal(scale=0.01, size=64)).astype(np.float32) for i in range(200)}
+    rows |= {f"w{i:03d}": rng.normal(size=64).astype(np.float32) for i in range(200)}
+    monkeypatch.setattr(S, "FILE", 8)
+    monkeypatch.setattr(S, "choose_pivots", lambda c, n, d: S._unit(np.array([rows[f"w{i:03d}"] for i in range(32)])).astype(np.float32))
+    got, want = collect(S.nearest(frame(spark, rows))), brute(rows, 5, 0.85)
+    assert agreement(got, want) >= 0.95
 
 
 def test_footrule_gain():
