@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 1 << 17
 CENTROIDS = 3
-MAX_SAMPLES = 20_000
+MAX_SAMPLES, SAMPLES_A_CENTROID = 20_000, 10
 LEAST_WORDS = 8
 UNKNOWN = "und"
 #: Share of a centroid's lowest training cosine below which a sentence is rejected.
@@ -30,7 +31,7 @@ MARGIN = 0.05
 #: Mean lead over the main language that a passage in another one needs to count as present, as a share of the least lead of held-out samples between the two languages.
 SHARE = 0.5
 FOLDS = 2
-ROWS_A_BATCH = 256
+ROWS_A_BATCH, TEXTS_A_STEP = 256, 4096
 
 #: Names and codes of the languages, lower case.
 SPELLINGS = {
@@ -55,9 +56,10 @@ def normal_label(label: Column) -> Column:
     return F.try_element_at(table, head)
 
 
-def _clean(text: str) -> str:
-    """Lower-cased letters, everything else one blank, a blank at either end."""
-    return " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+def label_or_own(label: Column) -> Column:
+    """``normal_label``, or the label itself, trimmed and lower-cased, if it names no known language; blank is null."""
+    own = F.lower(F.trim(label))
+    return F.coalesce(normal_label(label), F.when(own != "", own))
 
 
 def _unaccented(text: str) -> str:
@@ -65,53 +67,106 @@ def _unaccented(text: str) -> str:
     return "".join(b if (b := unicodedata.normalize("NFD", c)[0]).isascii() else c for c in text)
 
 
-def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, dimension, count) of every n-gram of every cleaned text, sorted by row."""
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    if lengths.sum() == 0:
-        empty = np.empty(0, np.int64)
-        return empty, empty, empty
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    rows = np.repeat(np.arange(len(texts), dtype=np.int64), lengths)
+@lru_cache(maxsize=1)
+def _kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each code point is a letter, a letter or digit, white space."""
+    every = [chr(i) for i in range(0x110000)]
+    return tuple(np.fromiter((f(c) for c in every), bool, len(every)) for f in (str.isalpha, str.isalnum, str.isspace))
+
+
+@dataclass
+class Prepared:
+    """Texts as code points: lower-cased letters, everything else one blank, a blank at either end; ``words`` counts the white-space tokens with a letter or digit, ``letters`` the letters of each text."""
+
+    codes: np.ndarray
+    rows: np.ndarray
+    words: np.ndarray
+    letters: np.ndarray
+
+    def only(self, chosen: np.ndarray) -> Prepared:
+        """The texts ``chosen`` (ascending positions), renumbered."""
+        place = np.full(len(self.words), -1, np.int64)
+        place[chosen] = np.arange(len(chosen))
+        own = place[self.rows]
+        return Prepared(self.codes[own >= 0], own[own >= 0], self.words[chosen], self.letters[chosen])
+
+
+def prepared(texts: list[str]) -> Prepared:
+    alpha_of, alnum_of, space_of = _kinds()
+    parts = [f" {t.lower()} " for t in texts]
+    lengths = np.array([len(p) for p in parts], np.int64)
+    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    rows = np.repeat(np.arange(len(texts)), lengths)
+    alpha = alpha_of[codes]
+    token = np.cumsum(space_of[codes])
+    at = np.flatnonzero(alnum_of[codes])
+    words = np.bincount(rows[at][np.r_[True, token[at][1:] != token[at][:-1]]] if len(at) else at, minlength=len(texts))
+    keep = alpha.copy()
+    keep[1:] |= alpha[:-1]  # of what is no letter only the first after a letter stays
+    keep[np.cumsum(lengths) - lengths] = True
+    return Prepared(np.where(alpha, codes, np.uint32(32))[keep], rows[keep], words, np.bincount(rows[alpha], minlength=len(texts)))
+
+
+def _features(texts: Prepared) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, dimension, count) of every n-gram of every text, sorted by row; at most ``TEXTS_A_STEP`` texts."""
+    codes, rows = texts.codes.astype(np.uint64), texts.rows
     keys, h = [], codes * _MULT[0]
     for n in range(1, 4):
         if len(codes) <= n:
             break
         h = (h[:-1] ^ (h[:-1] >> np.uint64(29))) * _MULT[n] + codes[n:] * _MULT[0]
         same = rows[n:] == rows[:-n]
-        dims = ((h ^ (h >> np.uint64(32))) >> np.uint64(7)) & np.uint64(DIMENSIONS - 1)
-        keys.append((rows[n:][same] << 17) | dims[same].astype(np.int64))
-    found, counts = np.unique(np.concatenate(keys), return_counts=True)
-    return found >> 17, found & (DIMENSIONS - 1), counts
+        dims = ((h ^ (h >> np.uint64(32))) >> np.uint64(7)).astype(np.uint32) & np.uint32(DIMENSIONS - 1)
+        keys.append((rows[n:][same].astype(np.uint32) << np.uint32(17)) | dims[same])
+    if not keys:
+        empty = np.empty(0, np.int64)
+        return empty, empty, empty
+    found = np.sort(np.concatenate(keys))
+    first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else np.empty(0, np.int64)
+    return (found[first] >> np.uint32(17)).astype(np.int64), (found[first] & np.uint32(DIMENSIONS - 1)).astype(np.int64), np.diff(np.r_[first, len(found)])
+
+
+def _starts(rows: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.empty(0, np.int64)
 
 
 @dataclass
 class Centroids:
-    """``matrix`` (DIMENSIONS x k, idf folded in once), its languages, radii, and idf; ``leads``: by the sorted languages, the least lead of held-out samples of one over another."""
+    """``columns`` (k x seen n-grams) of the unit centroids, ``place`` of each dimension among the seen ones (-1: in no sample), idf, the centroids' languages and radii;
+    by the sorted languages: ``leads``, the least lead of held-out samples of one over another, and ``typical``, the mean cosine of held-out samples."""
 
-    matrix: np.ndarray
+    columns: np.ndarray
+    place: np.ndarray
     idf: np.ndarray
     langs: list[str]
     radii: np.ndarray
     leads: np.ndarray
+    typical: np.ndarray
 
     @property
     def names(self) -> list[str]:
         return sorted(set(self.langs))
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def scores(self, texts: Prepared) -> np.ndarray:
         """Cosine of every text with every centroid."""
-        out = np.zeros((len(texts), len(self.langs)), np.float32)
+        out = np.zeros((len(texts.words), len(self.langs)), np.float32)
         if not self.langs:
             return out
         rows, dims, counts = _features(texts)
         if not len(rows):
             return out
-        w = ((1 + np.log(counts)) * self.idf[dims]).astype(np.float32)
-        starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        norm = np.sqrt(np.add.reduceat(w * w, starts))
-        out[rows[starts]] = np.add.reduceat(self.matrix[dims] * w[:, None], starts) / np.maximum(norm, 1e-9)[:, None]
-        return out
+        w = ((1 + np.log(counts.astype(np.float32))) * self.idf[dims]).astype(np.float32)
+        starts = _starts(rows)
+        norm = np.zeros(len(out), np.float32)
+        norm[rows[starts]] = np.sqrt(np.add.reduceat(w * w, starts))
+        at = self.place[dims]
+        seen = np.flatnonzero(at >= 0)
+        at, w, rows = at[seen], w[seen], rows[seen]
+        starts = _starts(rows)
+        if len(starts):
+            for j, column in enumerate(self.columns):
+                out[rows[starts], j] = np.add.reduceat(column[at] * w, starts)
+        return out / np.maximum(norm, 1e-9)[:, None]
 
     def by_language(self, s: np.ndarray) -> np.ndarray:
         """Best cosine of every text with each of the sorted languages."""
@@ -121,13 +176,17 @@ class Centroids:
 
     def best(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language or ``und``, confidence 0..1, margin to the next language) per text."""
-        return self.judged(texts)[:3]
+        return self.judged(prepared(texts))[:3]
 
-    def judged(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """``best`` and the lead over every language beyond what a passage needs."""
+    def judged(self, texts: Prepared) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """``best`` and the lead over every language beyond what a passage needs.
+
+        The confidence is the margin, less where the text is farther from its centroid than held-out samples are.
+        """
+        n = len(texts.words)
+        if not self.langs or not n:
+            return [UNKNOWN] * n, np.zeros(n), np.zeros(n), np.zeros((n, len(self.names)))
         s = self.scores(texts)
-        if not self.langs or not len(texts):
-            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros((len(texts), len(self.names)))
         names, by = self.names, self.by_language(s)
         order = np.argsort(-by, axis=1, kind="stable")
         top = by[np.arange(len(s)), order[:, 0]]
@@ -137,13 +196,17 @@ class Centroids:
         rejected = top < self.radii[near]
         lang = [UNKNOWN if r else names[o] for r, o in zip(rejected, order[:, 0])]
         lead = (top[:, None] - np.maximum(by, 0)) / np.maximum(top, 1e-9)[:, None]
-        return lang, np.where(rejected, 0, np.clip(margin, 0, 1)), margin, lead - SHARE * self.leads[order[:, 0]]
+        near_enough = np.minimum(1, np.maximum(top, 0) / np.maximum(self.typical[order[:, 0]], 1e-9))
+        return lang, np.where(rejected, 0, np.clip(margin, 0, 1) * near_enough), margin, lead - SHARE * self.leads[order[:, 0]]
 
 
 def fit(samples: DataFrame, centroids: int = CENTROIDS, max_samples: int = MAX_SAMPLES) -> Centroids:
-    """Fit on the ``max_samples`` samples with the smallest ids (a bounded sample by design). Null or unusable samples are left out; none at all rejects everything."""
-    rows = samples.select("sample_id", normal_label(F.col("lang")).alias("lang"), "text").orderBy("sample_id").limit(max_samples).collect()
-    rows = [(r.lang, _clean(r.text)) for r in rows if r.lang and r.text and any(c.isalpha() for c in r.text)]
+    """Fit on the ``max_samples`` samples with the smallest ids (a bounded sample by design). Null or unusable samples are left out; none at all rejects everything.
+
+    A language without an entry in ``SPELLINGS`` is kept under its own label, trimmed and lower-cased.
+    """
+    rows = samples.select("sample_id", label_or_own(F.col("lang")).alias("lang"), "text").orderBy("sample_id").limit(max_samples).collect()
+    rows = [(r.lang, r.text) for r in rows if r.lang and r.text and any(c.isalpha() for c in r.text)]
     rows.sort(key=lambda r: r[0])  # every fold gets its part of each language
     model = _fitted(rows, centroids)
     for fold in range(FOLDS if rows else 0):
@@ -151,54 +214,74 @@ def fit(samples: DataFrame, centroids: int = CENTROIDS, max_samples: int = MAX_S
         other = _fitted([x for i, x in enumerate(rows) if i % FOLDS != fold], centroids)
         if other.names != model.names:
             model.leads[:] = 0  # too few samples to hold any out
+            model.typical[:] = 0
             break
-        by = np.maximum(other.by_language(other.scores([t for _, t in held])), 0)
+        by = np.maximum(other.by_language(_in_steps(other.scores, [t for _, t in held])), 0)
         own = np.array([model.names.index(name) for name, _ in held])
-        lead = 1 - by / np.maximum(by[np.arange(len(held)), own], 1e-9)[:, None]
+        best = by[np.arange(len(held)), own]
+        lead = 1 - by / np.maximum(best, 1e-9)[:, None]
         for i in set(own):
             model.leads[i] = np.minimum(model.leads[i], lead[own == i].min(0))
+            model.typical[i] += best[own == i].mean() / FOLDS
     model.leads = np.clip(model.leads, 0, 1)
     return model
 
 
+def _in_steps(f, texts: list[str]) -> np.ndarray:
+    return np.concatenate([f(prepared(texts[a : a + TEXTS_A_STEP])) for a in range(0, len(texts), TEXTS_A_STEP)])
+
+
 def _with_unaccented(rows: list[tuple[str, str]]) -> list[tuple[str, str]]:
     """The samples, and those with accents again without: accents get lost in documents."""
-    return rows + [(name, bare) for name, t in rows if (bare := _unaccented(t)) != t]
+    return rows + [(name, bare) for name, t in rows if (bare := _unaccented(t.lower())) != t.lower()]
 
 
 def _fitted(rows: list[tuple[str, str]], centroids: int) -> Centroids:
     if not rows:
-        return Centroids(np.zeros((DIMENSIONS, 0), np.float32), np.ones(DIMENSIONS), [], np.zeros(0), np.zeros((0, 0)))
-    rows = _with_unaccented(rows)
-    r, d, c = _features([t for _, t in rows])
-    df = np.bincount(d, minlength=DIMENSIONS)
-    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+        return Centroids(np.zeros((0, 0), np.float32), np.full(DIMENSIONS, -1, np.int32), np.ones(DIMENSIONS, np.float32), [], np.zeros(0), np.zeros((0, 0)), np.zeros(0))
+    rows = sorted(_with_unaccented(rows), key=lambda r: r[0])
+    found = [_features(prepared([t for _, t in rows[a : a + TEXTS_A_STEP]])) for a in range(0, len(rows), TEXTS_A_STEP)]
+    r = np.concatenate([f[0] + i * TEXTS_A_STEP for i, f in enumerate(found)])
+    d, c = (np.concatenate([f[i] for f in found]) for i in (1, 2))
+    idf = np.log((1 + len(rows)) / (1 + np.bincount(d, minlength=DIMENSIONS))) + 1
     dims, at = np.unique(d, return_inverse=True)
-    x = np.zeros((len(rows), len(dims)))
-    x[r, at] = (1 + np.log(c)) * idf[d]
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    w = (1 + np.log(c)) * idf[d]
+    starts = _starts(r)
+    w /= np.repeat(np.sqrt(np.add.reduceat(w * w, starts)), np.diff(np.r_[starts, len(r)]))
     langs, columns, radii = [], [], []
-    for lang in sorted({name for name, _ in rows}):
-        own = x[[i for i, (name, _) in enumerate(rows) if name == lang]]
-        k = min(centroids, len(own))
-        start = [0]
-        while len(start) < k:  # farthest first
-            start.append(int((own @ own[start].T).max(1).argmin()))
-        cents = own[start]
+    names = np.array([name for name, _ in rows])
+    for lang in sorted(set(names)):
+        lo, hi = np.searchsorted(r, np.flatnonzero(names == lang)[[0, -1]] + [0, 1])  # the samples of a language are neighbours
+        row, col, val = r[lo:hi] - r[lo], at[lo:hi], w[lo:hi]
+        n, begin = int(row[-1]) + 1, _starts(row)
+
+        def cosines(centre: np.ndarray) -> np.ndarray:
+            return np.add.reduceat(centre[col] * val, begin)
+
+        def dense(i: int) -> np.ndarray:
+            own = row == i
+            return np.bincount(col[own], val[own], minlength=len(dims))
+
+        k = min(centroids, max(1, n // SAMPLES_A_CENTROID))
+        cents = [dense(0)]
+        near = cosines(cents[0])[:, None]
+        while len(cents) < k:  # farthest first
+            cents.append(dense(int(near.max(1).argmin())))
+            near = np.c_[near, cosines(cents[-1])]
         for _ in range(10):
-            member = (own @ cents.T).argmax(1)
-            cents = np.stack([own[member == j].mean(0) if (member == j).any() else cents[j] for j in range(k)])
-            cents /= np.linalg.norm(cents, axis=1, keepdims=True)
-        near = own @ cents.T
+            member = near.argmax(1)
+            sums = [np.bincount(col[m], val[m], minlength=len(dims)) if (m := member[row] == j).any() else cents[j] for j in range(k)]
+            cents = [x / np.linalg.norm(x) for x in sums]
+            near = np.stack([cosines(x) for x in cents], 1)
         member = near.argmax(1)
         for j in range(k):
-            langs.append(lang)
+            langs.append(str(lang))
             columns.append(cents[j])
             radii.append(RADIUS * (near[member == j, j].min() if (member == j).any() else 0.0))
-    matrix = np.zeros((DIMENSIONS, len(langs)), np.float32)
-    matrix[dims] = np.stack(columns, 1)
+    place = np.full(DIMENSIONS, -1, np.int32)
+    place[dims] = np.arange(len(dims))
     n = len(set(langs))
-    return Centroids(matrix, idf.astype(np.float32), langs, np.array(radii), np.ones((n, n)))
+    return Centroids(np.stack(columns).astype(np.float32), place, idf.astype(np.float32), langs, np.array(radii), np.ones((n, n)), np.zeros(n))
 
 
 def _sentences(text: str) -> list[tuple[int, int]]:
@@ -212,10 +295,6 @@ def _sentences(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-def _words(text: str) -> int:
-    return sum(any(c.isalnum() for c in w) for w in text.split())
-
-
 def _segments(text: str, spans: list, langs: dict, conf: dict, margin: dict, words: dict, lead: dict) -> list[dict]:
     """Neighbouring sentences of one language merged; a sentence without evidence of its own joins the passage it stands in."""
     out: list[dict] = []
@@ -267,41 +346,44 @@ def classify(documents: DataFrame, samples: DataFrame, id_column: str = "doc_id"
 
 def _classified(m: Centroids, batch: pa.RecordBatch, id_column: str, types: pa.DataType) -> pa.RecordBatch:
     texts = batch.column(2).to_pylist()
-    jobs: list[tuple[int, int, str]] = []  # document, sentence (-1: the whole text), cleaned text
-    spans_of: list[list[tuple[int, int]]] = []
-    words_of: list[dict[int, int]] = []
-    for d, text in enumerate(texts):
-        spans = _sentences(text) if text else []
-        words = {i: n for i, (a, b) in enumerate(spans) if (n := _words(text[a:b])) >= LEAST_WORDS}
-        cleaned = {i: _clean(text[spans[i][0] : spans[i][1]]) for i in words}
-        cleaned = {i: t for i, t in cleaned.items() if t.strip()}
-        spans_of.append(spans)
-        words_of.append(words)
-        jobs += [(d, i, t) for i, t in cleaned.items()]
-        if not cleaned and text and (whole := _clean(text)).strip():
-            jobs.append((d, -1, whole))
+    spans_of = [_sentences(text) if text else [] for text in texts]
+    whose = [(d, i) for d, spans in enumerate(spans_of) for i in range(len(spans))]
+    sentences = prepared([texts[d][slice(*spans_of[d][i])] for d, i in whose])
+    words_of: list[dict[int, int]] = [{} for _ in texts]
+    all_words = np.zeros(len(texts), np.int64)
+    for (d, i), n in zip(whose, sentences.words.tolist()):
+        all_words[d] += n
+        if n >= LEAST_WORDS:
+            words_of[d][i] = n
     lang: list[dict] = [{} for _ in texts]
     conf: list[dict] = [{} for _ in texts]
     margin: list[dict] = [{} for _ in texts]
     lead: list[dict] = [{} for _ in texts]
 
-    def judge(jobs: list[tuple[int, int, str]]) -> None:
-        for a in range(0, len(jobs), 2048):
-            part = jobs[a : a + 2048]
-            for (d, i, _), name, c, g, over in zip(part, *m.judged([t for _, _, t in part])):
+    def judge(jobs: list[tuple[int, int]], of: Prepared, chosen: np.ndarray) -> None:
+        """``jobs`` (document, sentence; -1: the whole text, -2: its sentences together) of the texts ``chosen``."""
+        for a in range(0, len(jobs), TEXTS_A_STEP):
+            for (d, i), name, c, g, over in zip(jobs[a : a + TEXTS_A_STEP], *m.judged(of.only(chosen[a : a + TEXTS_A_STEP]))):
                 lang[d][i], conf[d][i], margin[d][i], lead[d][i] = name, float(c), float(g), over
 
-    judge(jobs)
+    long = np.flatnonzero((sentences.words >= LEAST_WORDS) & (sentences.letters > 0))
+    judge([whose[x] for x in long], sentences, long)
+    whole = [d for d, text in enumerate(texts) if text and not lang[d]]
+    if whole:
+        of = prepared([texts[d] for d in whole])
+        chosen = np.flatnonzero(of.letters > 0)
+        judge([(whole[x], -1) for x in chosen], of, chosen)
     # no sentence of a text is sure by itself: its sentences are judged together
     unsure = [d for d in range(len(texts)) if lang[d] and -1 not in lang[d] and not any(n != UNKNOWN and margin[d][i] >= MARGIN for i, n in lang[d].items())]
-    judge([(d, -2, _clean(" ".join(texts[d][a:b] for i, (a, b) in enumerate(spans_of[d]) if i in lang[d]))) for d in unsure])
+    if unsure:
+        judge([(d, -2) for d in unsure], prepared([" ".join(texts[d][a:b] for i, (a, b) in enumerate(spans_of[d]) if i in lang[d]) for d in unsure]), np.arange(len(unsure)))
     out_lang, out_conf, out_segments = [], [], []
     for d, text in enumerate(texts):
         together = -1 if -1 in lang[d] else -2
         if together in lang[d]:
             name, c = lang[d][together], conf[d][together]
             n = len(words_of[d]) if together == -2 else 0
-            segs = [] if name == UNKNOWN else [{"start": 0, "stop": len(text), "lang": name, "confidence": c, "words": _words(text), "sentences": n, "lead": 0.0}]
+            segs = [] if name == UNKNOWN else [{"start": 0, "stop": len(text), "lang": name, "confidence": c, "words": int(all_words[d]), "sentences": n, "lead": 0.0}]
         else:
             segs = [s for s in _segments(text or "", spans_of[d], lang[d], conf[d], margin[d], words_of[d], lead[d]) if s["lang"]]
             segs = [{**s, "confidence": s.pop("conf") / s["words"]} for s in segs]
@@ -325,7 +407,7 @@ def _classified(m: Centroids, batch: pa.RecordBatch, id_column: str, types: pa.D
 def label_faults(classified: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """(id, lang): every language present in a document whose label is missing, is not its main language, or whose text is in several."""
     present = F.array_distinct(F.transform(F.filter("segments", lambda s: (s["sentences"] > 0) & ((s["lang"] == F.col("lang")) | (s["lead"] >= 0))), lambda s: s["lang"]))
-    with_langs = classified.withColumn("_present", present).withColumn("_label", normal_label(F.col("lang_label")))
+    with_langs = classified.withColumn("_present", present).withColumn("_label", label_or_own(F.col("lang_label")))
     faulty = F.col("_label").isNull() | (F.col("_label") != F.col("lang")) | (F.size("_present") > 1)
     return with_langs.filter(faulty).select(id_column, F.explode("_present").alias("lang"))
 

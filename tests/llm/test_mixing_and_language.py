@@ -96,7 +96,7 @@ def test_held_out_accuracy(spark):
     s = spark.read.parquet(path)
     model = L.fit(s.filter("sample_id % 2 = 0"))
     rows = s.filter("sample_id % 2 = 1").collect()
-    lang, _, _ = model.best([L._clean(r.text) for r in rows])
+    lang, _, _ = model.best([r.text for r in rows])
     assert sum(a == r.lang for a, r in zip(lang, rows)) >= 0.98 * len(rows)
 
 
@@ -116,5 +116,43 @@ def test_close_languages_in_mixed_texts(spark):
     rows = [(i, f"{main[i % 20]}\n{main[(i + 1) % 20]}\n{main[(i + 2) % 20]}\n{main[(i + 3) % 20]}\n{t}", "en") for i, t in enumerate(t for r in held if r.lang in ("pt", "es") for t in (r.text, L._unaccented(r.text)))]
     langs = [x for r in held if r.lang in ("pt", "es") for x in (r.lang, r.lang)]
     found = {(r.doc_id, r.lang) for r in L.label_faults(L.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fitted)).collect()}
-    missed = [i for i, x in enumerate(langs) if (i, x) not in found and L._words(rows[i][1].split("\n")[-1]) >= L.LEAST_WORDS]
+    missed = [i for i, x in enumerate(langs) if (i, x) not in found and L.prepared([rows[i][1].split("\n")[-1]]).words[0] >= L.LEAST_WORDS]
     assert len(langs) >= 100 and len(missed) <= 0.03 * len(langs)
+
+
+POLISH = [
+    "Wczoraj wieczorem poszliśmy razem do kina na nowy film o wojnie.",
+    "Ta gra bardzo mi się podoba, ale jest trochę za trudna dla dzieci.",
+    "Nie wiem jeszcze, czy będę miał czas przyjść do was w sobotę.",
+    "Moja siostra kupiła sobie nowy samochód i jest z niego zadowolona.",
+    "W lesie za domem rosną grzyby, które zbieramy każdej jesieni z dziadkiem.",
+    "Proszę zamknąć drzwi, ponieważ na dworze jest dziś bardzo zimno.",
+    "Książka, którą mi pożyczyłeś, okazała się ciekawsza, niż myślałem.",
+    "Jutro rano muszę wcześnie wstać, żeby zdążyć na pociąg do Krakowa.",
+    "Nasz pies nie lubi burzy i zawsze chowa się wtedy pod łóżkiem.",
+    "Kiedy byłem mały, chciałem zostać strażakiem albo kierowcą autobusu.",
+]
+
+
+def test_a_language_without_spellings_is_fitted_and_others_are_less_sure(spark):
+    extra = spark.createDataFrame([(10_000 + i, " PL", t) for i, t in enumerate(POLISH[:8])], "sample_id long, lang string, text string")
+    with_polish = samples(spark).select("sample_id", "lang", "text").unionByName(extra)
+    docs = spark.createDataFrame([(i, t, "pl") for i, t in enumerate(POLISH[8:])], "doc_id long, text string, lang string")
+    assert [r.lang for r in L.classify(docs, with_polish).collect()] == ["pl", "pl"]
+    assert L.label_faults(L.classify(docs, with_polish)).count() == 0
+    path = "/root/testdata/sf0.001/lang_samples.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no samples")
+    model = L.fit(spark.read.parquet(path))
+    ukrainian = "Сьогодні ввечері ми підемо до бабусі, бо вона спекла смачний пиріг із яблуками."
+    russian = "Сегодня вечером мы пойдём к бабушке, потому что она испекла вкусный пирог с яблоками."
+    (a, b), confidence, _ = model.best([ukrainian, russian])
+    assert b == "ru" and confidence[0] < 0.4 and confidence[1] > 1.3 * confidence[0], (a, b, confidence)
+
+
+def test_prepared_texts():
+    p = L.prepared(["Ab1c  d!", "", "\t12 .. ß", "É"])
+    texts = ["".join(map(chr, p.codes[p.rows == i])) for i in range(4)]
+    assert texts == [" ab c d ", " ", " ß ", " é "] and list(p.words) == [2, 0, 2, 1] and list(p.letters) == [4, 0, 1, 1]
+    q = p.only(L.np.array([0, 3]))
+    assert "".join(map(chr, q.codes)) == " ab c d  é " and list(q.rows) == [0] * 8 + [1] * 3
