@@ -13,10 +13,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.ranking import with_positions
 from lodestar.llm.topn import distinct_candidates
+from lodestar.session import cut_lineage
 
 RRF_K = 60
 HOT_ROWS = 200_000
+#: Most groups whose list is broadcast; a longer one is joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 
 def _place(score: str, group: list[str]) -> Column:
@@ -73,21 +77,33 @@ def reciprocal_rank_fusion(
     Copies of a row count once; of differing copies each score's maximum counts. Empty table: no rows.
     """
     one = distinct_candidates(df.select(*group, item, *scores), group, item, scores)
-    sizes = one.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-    sized = one.alias("a").join(sizes.alias("b"), [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]).select("a.*", "b._size")
-    cold = sized.filter(F.col("_size") <= hot_rows).select(
-        *group, item, "_size", *[_place(s, group).alias(f"place_{s}") for s in scores]
-    )
-    hot = sized.filter(F.col("_size") > hot_rows)
-    hot_placed = _hot_places(hot, group, item, scores, hot_rows)
-    hot_wide = hot_placed.alias("a").join(sizes.alias("b"), [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]).select("a.*", "b._size")
-    both = cold.unionByName(hot_wide)
+    # at most rows / hot_rows groups; they are told apart before anything is gathered by group
+    hot_groups = cut_lineage(one.groupBy(*group).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > hot_rows))
+    n_hot = hot_groups.count()
+    size = F.count(F.lit(1)).over(Window.partitionBy(*group))
+    places = [_place(s, group).alias(f"place_{s}") for s in scores]
+    if not n_hot:
+        both = one.select(*group, item, size.alias("_size"), *places)
+    else:
+        listed = F.broadcast(hot_groups) if n_hot <= MOST_BROADCAST else hot_groups
+        same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
+        marked = one.alias("a").join(listed.alias("b"), same, "left").select("a.*", "b._size")
+        cold = marked.filter("_size is null").drop("_size").select(*group, item, size.alias("_size"), *places)
+        hot = _hot_places(marked.filter("_size is not null"), group, item, scores, hot_rows)
+        both = cold.unionByName(hot.alias("a").join(listed.alias("b"), same).select("a.*", "b._size"))
     total, fused = _fuse([F.col(f"place_{s}") for s in scores], k)
     return both.select(
         *group, item, *[f"place_{s}" for s in scores], total.alias("place_sum"), fused.alias("rrf"), F.col("_size").alias("n_items")
     )
 
 
+def ranking(fused: DataFrame, group: list[str], item: str, decimals: int = 9) -> DataFrame:
+    """(group, item, rrf, position): the one order of each group, 1 for the highest fused score (rounded to ``decimals``; ties: smaller item, null first). Groups of any size."""
+    rounded = fused.select(*group, item, F.round("rrf", decimals).alias("rrf")).withColumn("_down", -F.col("rrf"))
+    placed = with_positions(rounded, group, "_down", [item])
+    return placed.select(*group, item, "rrf", (F.col("position") + 1).alias("position"))
+
+
 def least_place_sum(fused: DataFrame, group: list[str], item: str, least_items: int = 3) -> DataFrame:
     """Per group of at least ``least_items`` different items, the item with the least sum of places (ties: smaller item)."""
     return (

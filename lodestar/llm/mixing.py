@@ -80,7 +80,8 @@ def _targets(mix_targets: DataFrame) -> dict[str, tuple[float, int]]:
     return out
 
 
-def _mix_units(documents: DataFrame, mix_targets: DataFrame, seed: int, vocabulary: str) -> tuple[DataFrame, list[Plan], int]:
+def _mix_units(documents: DataFrame, mix_targets: DataFrame, seed: int, vocabulary: str) -> tuple[DataFrame, DataFrame, int]:
+    """(texts that may be used, one row per listed source with its plan, tokens to share out). The plans are solved in one task per source on at most ``BINS`` sums."""
     spark, targets = documents.sparkSession, _targets(mix_targets)
     listed = spark.createDataFrame([(s, w, c) for s, (w, c) in targets.items()], "source string, weight double, cap int")
     named = documents.select("doc_id", "text", F.lower(F.trim("source")).alias("source")).join(F.broadcast(listed.select("source", "cap")), "source")
@@ -94,18 +95,26 @@ def _mix_units(documents: DataFrame, mix_targets: DataFrame, seed: int, vocabula
         .agg(F.min(F.struct("cap", "doc_id", "source")).alias("u"), F.max("n_tokens").alias("n_tokens"))
         .select("u.doc_id", "u.source", "n_tokens", (F.shiftrightunsigned(F.xxhash64("digest", F.lit(seed)), 11) / F.lit(float(1 << 53))).alias("u"))
     )
-    sums = units.groupBy("source", F.least(F.floor(F.col("u") * BINS), F.lit(BINS - 1)).cast("int").alias("b")).agg(F.sum("n_tokens").alias("n")).collect()
-    hists = {s: [0] * BINS for s in targets}
-    for r in sums:
-        hists[r.source][r.b] = r.n
-    plans = [solve(s, w, c, total, hists[s]) for s, (w, c) in sorted(targets.items())]
+    sums = units.groupBy("source", F.least(F.floor(F.col("u") * BINS), F.lit(BINS - 1)).cast("int").alias("b")).agg(F.sum("n_tokens").alias("n"))
+
+    def solved(rows):
+        import pandas as pd
+
+        hist = [0] * BINS
+        for b, n in zip(rows["b"], rows["n"]):
+            if not pd.isna(b):
+                hist[int(b)] = int(n)
+        p = solve(rows["source"].iloc[0], float(rows["weight"].iloc[0]), int(rows["cap"].iloc[0]), total, hist)
+        return pd.DataFrame([(p.source, p.weight, p.cap, p.target, p.available, p.thresholds, p.capped)], columns=["source", "weight", "max_repeats", "target_tokens", "available_tokens", "thresholds", "capped"])
+
+    kinds = "source string, weight double, max_repeats int, target_tokens double, available_tokens bigint, thresholds array<double>, capped boolean"
+    plans = cut_lineage(listed.join(sums, "source", "left").groupBy("source").applyInPandas(solved, kinds))  # at most MAX_SOURCES rows
     return units, plans, total
 
 
-def _uses(documents: DataFrame, mix_targets: DataFrame, seed: int, vocabulary: str) -> tuple[DataFrame, list[Plan], int]:
+def _uses(documents: DataFrame, mix_targets: DataFrame, seed: int, vocabulary: str) -> tuple[DataFrame, DataFrame, int]:
     units, plans, total = _mix_units(documents, mix_targets, seed, vocabulary)
-    table = documents.sparkSession.createDataFrame([(p.source, p.thresholds) for p in plans], "source string, thresholds array<double>")
-    drawn = units.join(F.broadcast(table), "source").withColumn("uses", F.size(F.filter("thresholds", lambda t: F.col("u") >= t)))
+    drawn = units.join(F.broadcast(plans.select("source", "thresholds")), "source").withColumn("uses", F.size(F.filter("thresholds", lambda t: F.col("u") >= t)))
     return drawn.filter("uses > 0").select("doc_id", "source", "n_tokens", "uses"), plans, total
 
 
@@ -128,10 +137,7 @@ def shares(documents: DataFrame, mix_targets: DataFrame, seed: int = 17, vocabul
     (null for an empty mix) and of the size to share out (all tokens of listed sources)."""
     drawn, plans, total = _uses(documents, mix_targets, seed, vocabulary)
     got = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("mix_tokens"), F.sum("uses").alias("uses"), F.max("uses").alias("most_uses"))
-    table = documents.sparkSession.createDataFrame(
-        [(p.source, p.weight, p.cap, p.target, p.available, p.capped) for p in plans],
-        "source string, weight double, max_repeats int, target_tokens double, available_tokens bigint, capped boolean",
-    )
+    table = plans.drop("thresholds")
     both = table.join(got, "source", "left").fillna(0, ["mix_tokens", "uses", "most_uses"])
     everything = both.agg(F.sum("mix_tokens").alias("all_tokens"))
     return both.crossJoin(F.broadcast(everything)).select(

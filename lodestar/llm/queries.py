@@ -35,8 +35,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = distinctive.residual_idf(distinctive.word_occurrences(reviews), distinctive.record_count(reviews), 5, 0.75)
     out = words.select(F.lit("reviews.text").alias("field"), "parent_asin", "term")
     for column in ("top_tfidf_phrases", "distinctive_terms"):
-        scored = distinctive.residual_idf(distinctive.listed_terms(products, column), distinctive.record_count(products))
-        out = out.unionByName(scored.filter(F.col("df").between(2, 3)).select(F.lit(f"products_nlp.{column}").alias("field"), "parent_asin", "term"))
+        scored = distinctive.residual_idf(distinctive.listed_terms(products, column), distinctive.record_count(products), most_records=3)
+        out = out.unionByName(scored.filter(F.col("df") >= 2).select(F.lit(f"products_nlp.{column}").alias("field"), "parent_asin", "term"))
     return out
 
 
@@ -78,6 +78,11 @@ def p5_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir).withColumn("rrf", F.round("rrf", 9))
 
 
+def p5_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one order of candidates per query: position 1 has the highest fused score."""
+    return fusion.ranking(_fused(spark, sf_dir), QUERY_KEY, CANDIDATE)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = topn.top_n_per_group(read_table(spark, sf_dir, "features_test"), QUERY_KEY, CANDIDATE, "f01_faiss_score", 10)
     return best.select(*QUERY_KEY, CANDIDATE)
@@ -119,7 +124,7 @@ def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_nearest, p3_found, p3_word_scores, p3_term_scores, p4_found, p4_groups, p5_found, p5_fused, p6_found, p6_places,
+        p2_found, p2_nearest, p3_found, p3_word_scores, p3_term_scores, p4_found, p4_groups, p5_found, p5_fused, p5_ranking, p6_found, p6_places,
         p7_ids, p8_mix, p8_shares, p9_found, p9_documents, p9_passages,
     )
 }

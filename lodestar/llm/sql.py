@@ -76,6 +76,9 @@ SELECT user_id, query_parent_asin, candidate_parent_asin FROM summed WHERE n_ite
 QUALIFY row_number() OVER (PARTITION BY user_id, query_parent_asin ORDER BY place_sum, candidate_parent_asin) = 1""",
     "p5_fused": f"""WITH {_PLACES}
 SELECT *, round(1.0::DOUBLE / (60 + place_f01_faiss_score) + 1.0::DOUBLE / (60 + place_f31_bm25_score) + 1.0::DOUBLE / (60 + place_f05_avg_rating), 9) AS rrf FROM summed""",
+    "p5_ranking": f"""WITH {_PLACES},
+fused AS (SELECT *, round(1.0::DOUBLE / (60 + place_f01_faiss_score) + 1.0::DOUBLE / (60 + place_f31_bm25_score) + 1.0::DOUBLE / (60 + place_f05_avg_rating), 9) AS rrf FROM summed)
+SELECT user_id, query_parent_asin, candidate_parent_asin, rrf, row_number() OVER (PARTITION BY user_id, query_parent_asin ORDER BY rrf DESC, candidate_parent_asin) AS position FROM fused""",
     "p6_found": f"{_TOP} SELECT user_id, query_parent_asin, candidate_parent_asin FROM ranked WHERE place <= 10",
     "p6_places": f"{_TOP} SELECT * FROM ranked WHERE place <= 10",
 }

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pattern that cuts text into pieces before the merges of this vocabulary.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MEMO_PIECES = 400_000
+MEMO_PIECES, MEMO_PAIRS = 400_000, 500_000
 ROWS_A_BATCH = 500
 
 
@@ -30,7 +30,7 @@ class PrefixEncoder:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self._split = regex.compile(pattern).findall
-        self._follows: dict[tuple[int, int], bool] = {}
+        self._follows: dict[int, bool] = {}
         self._starts: dict[int, bool] = {}
         self._memo: dict[str, tuple[int, ...]] = {}
 
@@ -55,11 +55,11 @@ class PrefixEncoder:
         return known
 
     def _can_follow(self, left: int, token: int) -> bool:
-        key = (left, token)
+        key = left << 32 | token
         known = self._follows.get(key)
         if known is None:
             a, b = self.bytes_of[left], self.bytes_of[token]
-            if len(self._follows) > 4_000_000:
+            if len(self._follows) >= MEMO_PAIRS:
                 self._follows.clear()
             known = self._follows[key] = self._can_start(token) and self._merged(a + b) == [a, b]
         return known

@@ -53,6 +53,16 @@ def test_fused_score_and_best(spark):
     assert best == {g: min(v)[1] for g, v in want.items() if len(v) >= 3}
 
 
+def test_the_one_ranking(spark):
+    want = {}
+    for (u, q, c), p in brute().items():
+        want.setdefault((u, q), []).append((-round(sum(1 / (60 + x) for x in p), 9), c))
+    for hot in (200_000, 2):
+        fused = F.reciprocal_rank_fusion(frame(spark), ["u", "q"], "c", SCORES, hot_rows=hot)
+        got = {(r.u, r.q, r.c): r.position for r in F.ranking(fused, ["u", "q"], "c").collect()}
+        assert got == {(*g, c): n + 1 for g, v in want.items() for n, (_, c) in enumerate(sorted(v))}
+
+
 def test_top_n(spark):
     got = defaultdict(list)
     for r in T.top_n_per_group(frame(spark), ["u", "q"], "c", "s3", 5).orderBy("place").collect():
@@ -88,6 +98,9 @@ def test_residual_idf(spark):
     assert got["p1", "rare"].ridf > got["p2", "common"].ridf
     few = D.residual_idf(D.word_occurrences(reviews), D.record_count(reviews), 3, 0.75).collect()
     assert [(x.parent_asin, x.term) for x in few] == [("p1", "rare")]
+    for most in (1, 2, 3):
+        kept = {(x.parent_asin, x.term) for x in D.residual_idf(D.word_occurrences(reviews), D.record_count(reviews), most_records=most).collect()}
+        assert kept == {k for k, r in got.items() if r.df <= most}
 
 
 def test_listed_terms(spark):
