@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.config import ASPECTS
 from lodestar.functions import columns as C
 from lodestar.operators.users import voice_order
+from lodestar.sources.readers import exists
 
 BUDGET = 512
 NONE = "N/A"
@@ -120,33 +121,58 @@ def voice_documents(profiles: DataFrame, reviews: DataFrame, budget: int = BUDGE
 
 
 # Patterns and vocabularies that decide what a query asks for.
-_NUMBER = r"\s*\$?\s*([0-9]+(?:\.[0-9]+)?)"
-MAX_PRICE = r"(?i)(?:under|below|less than|at most|no more than|cheaper than)" + _NUMBER
-MIN_PRICE = r"(?i)(?:over|above|more than|at least|greater than)" + _NUMBER
-APPROX_PRICE = r"(?i)(?:around|approximately|about|~)" + _NUMBER
-LOW, HIGH = r"(?i)\b(?:cheap|budget|affordable|free)\b", r"(?i)\b(?:premium|expensive|high.end)\b"
-ATTRIBUTES = "fun immersive challenging relaxing casual competitive cooperative beautiful realistic retro classic modern short long easy hard fast slow dark funny scary emotional addictive replayable polished original creative simple complex deep epic cute wireless portable multiplayer".split()
-INTENTS = "game games rpg fps shooter strategy simulation puzzle platformer racing sports adventure action horror controller headset keyboard mouse console story plot graphics gameplay music soundtrack combat exploration campaign world dlc expansion bundle accessory charger cable".split()
+NUMBER = r"\s*\$?\s*([0-9]+(?:\.[0-9]+)?)"
+MAX_PRICE = r"(?i)(?:under|below|less\s+than|at\s+most|no\s+more\s+than|cheaper?\s+than)" + NUMBER
+MIN_PRICE = r"(?i)(?:over|above|more\s+than|at\s+least|greater\s+than)" + NUMBER
+APPROX_PRICE = r"(?i)(?:around|approximately|about|~)" + NUMBER
+LOW = r"(?i)\b(?:cheap|budget|affordable|free)\b"
+HIGH = r"(?i)\b(?:premium|expensive|high.?end)\b"
+ATTRIBUTES = [
+    "great", "good", "best", "top", "amazing", "fun", "exciting", "challenging", "easy", "hard", "beautiful", "gorgeous", "stunning", "dark", "scary", "funny", "relaxing", "competitive",
+    "immersive", "addictive", "classic", "new", "old", "cheap", "expensive", "popular", "underrated", "hidden", "rare", "long", "short", "violent", "family", "single", "multi", "local", "online",
+    "free", "paid", "budget", "premium", "indie", "aaa",
+]
+INTENTS = [
+    "game", "games", "title", "titles", "rpg", "fps", "shooter", "adventure", "action", "strategy", "puzzle", "platformer", "horror", "sports", "racing", "fighting", "simulation", "sandbox",
+    "open.?world", "story", "multiplayer", "singleplayer", "co.?op", "campaign", "storyline", "character", "characters", "graphics", "gameplay", "controls", "music", "soundtrack",
+    "console", "pc", "playstation", "xbox", "nintendo", "switch",
+]
 EXPANSIONS: dict[str, list[str]] = {
-    "rpg": ["role playing", "character progression"], "fps": ["first person shooter", "shooting"], "open world": ["exploration", "sandbox"], "co-op": ["cooperative", "multiplayer"], "coop": ["cooperative", "multiplayer"],
-    "horror": ["scary", "survival"], "racing": ["driving", "cars"], "puzzle": ["logic", "brain teaser"], "strategy": ["tactics", "planning"], "indie": ["independent", "small studio"], "retro": ["classic", "pixel art"],
-    "story": ["narrative", "plot"], "multiplayer": ["online", "competitive"], "relaxing": ["calm", "cozy"], "kids": ["family friendly", "children"], "vr": ["virtual reality", "headset"], "platformer": ["jumping", "side scrolling"],
-    "simulation": ["simulator", "management"], "sports": ["football", "basketball"], "cheap": ["budget", "affordable"],
-}
+    "fps": ["first person shooter", "shooter", "action"],
+    "rpg": ["role playing game", "role-playing", "adventure"],
+    "mmo": ["massively multiplayer online", "online", "multiplayer"],
+    "mmorpg": ["massively multiplayer online role playing game", "online rpg"],
+    "rts": ["real time strategy", "strategy"],
+    "tbs": ["turn based strategy", "strategy"],
+    "jrpg": ["japanese role playing game", "rpg", "adventure"],
+    "moba": ["multiplayer online battle arena", "competitive"],
+    "soulslike": ["dark souls style", "challenging", "action rpg"],
+    "roguelike": ["procedurally generated", "permadeath", "dungeon crawler"],
+    "metroidvania": ["exploration", "platformer", "side-scroller"],
+    "vr": ["virtual reality", "immersive"],
+    "co-op": ["cooperative", "multiplayer", "together"],
+    "coop": ["cooperative", "multiplayer"],
+    "indie": ["independent game", "small studio"],
+    "aaa": ["triple a", "big budget", "blockbuster"],
+    "arpg": ["action role playing game", "action rpg"],
+    "hack and slash": ["action", "combat", "beat em up"],
+    "open world": ["sandbox", "exploration", "non-linear"],
+    "sandbox": ["open world", "creative", "exploration"],
+}
 
 
 def understand_queries(queries: DataFrame) -> DataFrame:
-    """(raw_query, intent, attributes, constraints, expanded, final_query) of each row of ``queries`` (raw_query). Null counts as ''.
+    """(raw_query, intent, attributes, constraints, expanded, final_query) of each row of ``queries`` (raw_query, trimmed). Null counts as ''.
 
     Arrays are sorted and without repetition, except ``expanded``, which keeps the order of the expansion table. Low price preference wins over high.
     """
-    q = F.coalesce("raw_query", F.lit(""))
+    q = F.trim(F.coalesce("raw_query", F.lit("")))
     number = lambda p: F.regexp_extract(q, p, 1).try_cast("double")
     listed = lambda words: F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(q), F.lit(r"\b(" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + r")\b"), F.lit(1))))
     expanded = F.array_distinct(F.flatten(F.array_compact(F.array(*[F.when(q.rlike(r"(?i)\b" + k + r"\b"), F.array(*[F.lit(x) for x in v])) for k, v in EXPANSIONS.items()]))))
     constraints = F.struct(number(MAX_PRICE).alias("max_price"), number(MIN_PRICE).alias("min_price"), number(APPROX_PRICE).alias("approx_price"), F.when(q.rlike(LOW), "low").when(q.rlike(HIGH), "high").alias("price_preference"))
     out = queries.select(q.alias("raw_query"), listed(INTENTS).alias("intent"), listed(ATTRIBUTES).alias("attributes"), constraints.alias("constraints"), expanded.alias("expanded"))
-    return out.withColumn("final_query", F.trim(F.concat_ws(" ", "raw_query", F.array_join("expanded", " "), F.array_join("attributes", " "))))
+    return out.withColumn("final_query", F.concat_ws(" ", F.array("raw_query"), "expanded", "attributes"))
 
 
 def encode_texts(texts: DataFrame, id_column: str, text_column: str, dimension: int = 64, weights: DataFrame | None = None) -> DataFrame:
@@ -178,11 +204,7 @@ def inverse_document_frequency(texts: DataFrame, text_column: str) -> DataFrame:
 def resume_encoding(texts: DataFrame, id_column: str, text_column: str, path: str, dimension: int = 64) -> int:
     """Append vectors of the ids not yet written under ``path``; returns how many were missing."""
     spark = texts.sparkSession
-    try:
-        done = spark.read.parquet(path).select(id_column)
-    except Exception:  # noqa: BLE001 - nothing written yet
-        done = spark.createDataFrame([], texts.select(id_column).schema)
-    todo = texts.join(done, id_column, "left_anti")
+    todo = texts.join(spark.read.parquet(path).select(id_column), id_column, "left_anti") if exists(spark, path) else texts
     n = todo.count()
     if n:
         encode_texts(todo, id_column, text_column, dimension).write.mode("append").parquet(path)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.ranking import hot_groups, with_positions
+
 QUERY = ["user_id", "query_parent_asin"]
 CUTS = (1, 5, 10)
 
@@ -22,13 +24,14 @@ ABLATIONS: dict[str, list[int]] = {
 def query_metrics(scored: DataFrame, score: str = "score", by: list[str] | None = None) -> DataFrame:
     """Metrics of every query with a positive label: ndcg@1/5/10, hr@1/5/10, mrr, recall@10.
 
-    Order: score descending, null and NaN last, ties by smaller candidate; the ideal order is by label. Both windows share one exchange on the query.
+    Order: score descending, null and NaN last, ties by smaller candidate; the ideal order is by label. Both orders share one exchange on the query; queries of any size (``with_positions``).
     """
     keys = [*(by or []), *QUERY]
-    g = Window.partitionBy(*keys)
     s = F.when(~F.isnan(F.col(score)), F.col(score))
-    r = scored.withColumn("_rank", F.row_number().over(g.orderBy(s.desc_nulls_last(), "candidate_parent_asin")))
-    r = r.withColumn("_ideal", F.row_number().over(g.orderBy(F.col("relevance_label").desc(), "candidate_parent_asin")))
+    hot = hot_groups(scored, keys)
+    r = scored.select(*keys, "candidate_parent_asin", "relevance_label", (-s).alias("_down"), (-F.col("relevance_label")).alias("_less"))
+    r = with_positions(r, keys, "_down", ["candidate_parent_asin"], hot=hot).withColumn("_rank", F.col("position") + 1).drop("position", "group_rows")
+    r = with_positions(r, keys, "_less", ["candidate_parent_asin"], hot=hot).withColumn("_ideal", F.col("position") + 1)
     gain = F.pow(F.lit(2.0), F.col("relevance_label")) - 1
     relevant = F.col("relevance_label") > 0
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.config import ASPECTS
 from lodestar.functions import columns as C
+from lodestar.functions.ranking import column_percentiles
 
 KEYS = ["user_id", "query_parent_asin", "candidate_parent_asin", "relevance_label", "is_forced_positive"]
 
@@ -64,36 +65,50 @@ def raw_features(candidates: DataFrame, products: DataFrame, profiles: DataFrame
     ``query_vectors`` (user_id, query_parent_asin, query_vec); ``voices`` (user_id, voice); ``bm25`` (user_id, query_parent_asin, candidate_parent_asin, bm25_scaled).
     Without ``query_vectors`` the query item's own vector is taken; without ``voices`` f18 is 0, without ``bm25`` f31 is 0.
     """
-    c = candidates.join(product_side(products), "candidate_parent_asin", "left").join(user_side(profiles, dimension), "user_id", "left")
+    cosine = lambda v: F.coalesce(C.dot(F.col(v), F.col("i_vec")), F.lit(0.0)).alias(f"cos_{v}")
+
+    def with_cosines(c: DataFrame, *vectors: str) -> DataFrame:
+        """Cosines right after the join, so that no later exchange carries the vectors."""
+        return c.select(*[x for x in c.columns if x not in vectors], *[cosine(v) for v in vectors])
+
+    c = candidates.join(product_side(products), "candidate_parent_asin", "left")
     c = c.join(items.select(F.col("item").alias("candidate_parent_asin"), F.col("vec").alias("i_vec")), "candidate_parent_asin", "left")
+    c = with_cosines(c.join(user_side(profiles, dimension), "user_id", "left"), "u_uniform", "u_recency", "u_rating", "u_combined")
+    if voices is not None:
+        c = with_cosines(c.join(voices, "user_id", "left"), "voice")
+    else:
+        c = c.withColumn("cos_voice", F.lit(0.0))
     if query_vectors is not None:
         c = c.join(query_vectors, ["user_id", "query_parent_asin"], "left")
     else:
         c = c.join(items.select(F.col("item").alias("query_parent_asin"), F.col("vec").alias("query_vec")), "query_parent_asin", "left")
-    c = c.join(voices, "user_id", "left") if voices is not None else c.withColumn("voice", F.lit(None).cast("array<float>"))
+    c = with_cosines(c, "query_vec").drop("i_vec")
     if bm25 is not None:
         c = c.join(bm25, KEYS[:3], "left")
-    cosine = lambda v: F.coalesce(C.dot(F.col(v), F.col("i_vec")), F.lit(0.0))
     flag = lambda b: F.coalesce(b, F.lit(False)).cast("double")
     log = lambda v: F.when(F.col(v).isNotNull(), F.log1p(F.greatest(F.col(v), F.lit(0.0))))
     values = [
-        F.col("faiss_score"), F.col("faiss_rank") / F.lit(float(top_k)), cosine("query_vec"), cosine("u_uniform"), F.col("rating"), log("n_ratings"), log("n_reviews"), F.col("sentiment"), F.col("price"), F.col("gem"), F.col("controversy"),
-        F.col("richness"), *[F.coalesce(F.col(f"p_{a}"), F.col(f"u_{a}"), F.lit(0.0)) for a in ASPECTS], cosine("voice"), flag(F.array_contains("u_categories", F.col("category"))), flag((F.col("u_tier") == F.col("tier")) & (F.col("tier") != "")),
+        F.col("faiss_score"), F.col("faiss_rank") / F.lit(float(top_k)), F.col("cos_query_vec"), F.col("cos_u_uniform"), F.col("rating"), log("n_ratings"), log("n_reviews"), F.col("sentiment"), F.col("price"), F.col("gem"), F.col("controversy"),
+        F.col("richness"), *[F.coalesce(F.col(f"p_{a}"), F.col(f"u_{a}"), F.lit(0.0)) for a in ASPECTS], F.col("cos_voice"), flag(F.array_contains("u_categories", F.col("category"))), flag((F.col("u_tier") == F.col("tier")) & (F.col("tier") != "")),
         F.abs(F.col("u_sentiment") - F.col("sentiment")), flag((F.col("u_aspect") == F.col("best_aspect")) & (F.col("u_aspect") != "")), F.log1p(F.greatest(F.coalesce("n_interactions", F.lit(0.0)), F.lit(0.0))), F.coalesce("trajectory", F.lit(0.5)),
-        F.col("verified"), F.col("weighted"), F.col("is_forced_positive").cast("double"), cosine("u_recency"), cosine("u_rating"), cosine("u_combined"), F.coalesce("bm25_scaled", F.lit(0.0)) if bm25 is not None else F.lit(0.0),
+        F.col("verified"), F.col("weighted"), F.col("is_forced_positive").cast("double"), F.col("cos_u_recency"), F.col("cos_u_rating"), F.col("cos_u_combined"), F.coalesce("bm25_scaled", F.lit(0.0)) if bm25 is not None else F.lit(0.0),
     ]
     return c.select(*KEYS, *[v.cast("double").alias(n) for v, n in zip(values, FEATURES)])
 
 
 def feature_stats(products: DataFrame, profiles: DataFrame, top_k: int) -> DataFrame:
-    """(feature, min, max, fill) in one aggregate of each table: published bounds where a feature has them, data bounds and medians elsewhere."""
+    """(feature, min, max, fill): published bounds where a feature has them, data bounds and exact medians elsewhere; no column is gathered in one task."""
     p, u = product_side(products), profiles.select(_finite(profiles, "user_avg_sentiment").alias("s"), F.col("interaction_count").cast("double").alias("n"))
     log = lambda c: F.log1p(F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0)))
-    a = p.agg(
-        F.median("rating").alias("m5"), F.max(log(F.col("n_ratings"))).alias("x6"), F.median(log(F.col("n_ratings"))).alias("m6"), F.max(log(F.col("n_reviews"))).alias("x7"), F.median(log(F.col("n_reviews"))).alias("m7"), F.median("sentiment").alias("m8"),
-        F.percentile("price", 0.99).alias("x9"), F.median("price").alias("m9"), F.min("gem").alias("n10"), F.max("gem").alias("x10"), F.median("gem").alias("m10"), F.max("controversy").alias("x11"), F.median("controversy").alias("m11"), F.median("richness").alias("m12"),
-        *[F.median(f"p_{x}").alias(f"m_{x}") for x in ASPECTS], F.median("verified").alias("m25"), F.median("weighted").alias("m26"), F.min("sentiment").alias("pn"), F.max("sentiment").alias("px"),
+    c, half = F.col, 0.5
+    medians = {
+        "m5": (c("rating"), half), "m6": (log(c("n_ratings")), half), "m7": (log(c("n_reviews")), half), "m8": (c("sentiment"), half), "x9": (c("price"), 0.99), "m9": (c("price"), half), "m10": (c("gem"), half),
+        "m11": (c("controversy"), half), "m12": (c("richness"), half), "m25": (c("verified"), half), "m26": (c("weighted"), half), **{f"m_{x}": (c(f"p_{x}"), half) for x in ASPECTS},
+    }
+    bounds = p.agg(
+        F.max(log(c("n_ratings"))).alias("x6"), F.max(log(c("n_reviews"))).alias("x7"), F.min("gem").alias("n10"), F.max("gem").alias("x10"), F.max("controversy").alias("x11"), F.min("sentiment").alias("pn"), F.max("sentiment").alias("px"),
     )
+    a = bounds.crossJoin(F.broadcast(column_percentiles(p, medians)))
     b = u.agg(F.min("s").alias("un"), F.max("s").alias("ux"), F.stddev_samp("s").alias("us"), F.max(F.log1p(F.greatest("n", F.lit(0.0)))).alias("x23"))
     row = a.crossJoin(b)
     z, one = F.lit(0.0), F.lit(1.0)

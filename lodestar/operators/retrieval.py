@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import columns as C
+from lodestar.session import cut_lineage
 
 ROWS_A_BLOCK = 4096
 #: Recall for which the clusters to probe are chosen on a sample; above the 0.9 asked for, as other queries may do worse.
@@ -29,16 +30,8 @@ def _blocks(df: DataFrame, id_column: str, vec: str, name: str, rows: int) -> Da
     return df.select(F.pmod(F.xxhash64(id_column), F.lit(n)).cast("int").alias(name), F.col(id_column).alias("id"), F.col(vec).cast("array<double>").alias("vec")), n
 
 
-def exact_top_k(queries: DataFrame, items: DataFrame, k: int, rows: int = ROWS_A_BLOCK) -> DataFrame:
-    """(query_id, item, score, rank) by inner product in double, exact, ties by smaller item.
-
-    ``queries`` (query_id, vec) and ``items`` (item, vec) are cut into blocks; each pair of blocks is one matrix product that gives up to ``k`` rows per query, and a
-    window merges them. Block size is bounded whatever the tables' sizes, and neither table is broadcast or collected. Scores are rounded to 9 decimals.
-    """
-    q, nq = _blocks(queries, "query_id", "vec", "qb", rows)
-    x, nx = _blocks(items, "item", "vec", "xb", rows)
-    left = q.withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))))
-    right = x.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+def _best_of_cell(k: int):
+    """The up to ``k`` best items of a block of items for every query of a block of queries, by one matrix product."""
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
@@ -51,7 +44,21 @@ def exact_top_k(queries: DataFrame, items: DataFrame, k: int, rows: int = ROWS_A
         names = np.repeat(np.array(a.column("id").to_pylist(), dtype=object), top.shape[1])
         return pa.table({"query_id": pa.array(names, pa.string()), "item": pa.array(ids[top.reshape(-1)], pa.string()), "score": pa.array(np.take_along_axis(scores, top, 1).reshape(-1))})
 
-    found = left.groupBy("qb", "xb").cogroup(right.groupBy("qb", "xb")).applyInArrow(cell, "query_id string, item string, score double")
+    return cell
+
+
+def exact_top_k(queries: DataFrame, items: DataFrame, k: int, rows: int = ROWS_A_BLOCK) -> DataFrame:
+    """(query_id, item, score, rank) by inner product in double, exact, ties by smaller item.
+
+    ``queries`` (query_id, vec) and ``items`` (item, vec) are cut into blocks; each pair of blocks is one matrix product that gives up to ``k`` rows per query, and a
+    window merges them. Block size is bounded whatever the tables' sizes, and neither table is broadcast or collected. Scores are rounded to 9 decimals.
+    """
+    q, nq = _blocks(queries, "query_id", "vec", "qb", rows)
+    x, nx = _blocks(items, "item", "vec", "xb", rows)
+    left = q.withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))))
+    right = x.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+
+    found = left.groupBy("qb", "xb").cogroup(right.groupBy("qb", "xb")).applyInArrow(_best_of_cell(k), "query_id string, item string, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -117,15 +124,28 @@ def probes_for_recall(queries: DataFrame, items: DataFrame, k: int, centroids: n
     return int(needed[int(np.ceil(recall * len(needed))) - 1]) + 1 if len(needed) else 1
 
 
-def ivf_top_k(queries: DataFrame, items: DataFrame, k: int, nlist: int = 64, nprobe: int | None = None, centroids: np.ndarray | None = None) -> DataFrame:
-    """(query_id, item, score, rank) over the ``nprobe`` nearest clusters of each query; None: as many as give a sample of the queries a recall of ``RECALL``."""
+def list_count(n_items: int) -> int:
+    """Clusters for a collection: the square root of its size, between 16 and 2048."""
+    return min(2048, max(16, round(n_items**0.5)))
+
+
+def ivf_top_k(queries: DataFrame, items: DataFrame, k: int, nlist: int | None = None, nprobe: int | None = None, centroids: np.ndarray | None = None, rows: int = ROWS_A_BLOCK) -> DataFrame:
+    """(query_id, item, score, rank) over the ``nprobe`` nearest clusters of each query; None: as many as give a sample of the queries a recall of ``RECALL``.
+
+    ``nlist`` None: ``list_count`` of the items. Queries meet the items of a cluster by matrix products of blocks of about ``rows`` rows, so a cluster of any size is spread.
+    """
     sc = queries.sparkSession.sparkContext
-    centroids = ivf_centroids(items, nlist) if centroids is None else centroids
+    centroids = ivf_centroids(items, nlist or list_count(items.count())) if centroids is None else centroids
     nprobe = probes_for_recall(queries, items, k, centroids) if nprobe is None else nprobe
     c = sc.broadcast(centroids)
-    x = assign(items, "item", c, 1).select(F.col("id").alias("item"), F.col("vec").alias("xv"), "cluster")
-    q = assign(queries, "query_id", c, nprobe).select(F.col("id").alias("query_id"), F.col("vec").alias("qv"), "cluster")
-    scored = q.join(x, "cluster").select("query_id", "item", F.round(C.dot(F.col("qv"), F.col("xv")), 9).alias("score"))
+    x, q = cut_lineage(assign(items, "item", c, 1)), cut_lineage(assign(queries, "query_id", c, nprobe))
+    # lists longer than a block are cut: at most one row per cluster says into how many
+    blocks = lambda df, n: df.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(n))
+    sizes = F.broadcast(blocks(x, "nx").join(blocks(q, "nq"), "cluster"))
+    left = q.join(sizes, "cluster").select("cluster", F.pmod(F.xxhash64("id"), "nq").cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("xb"), "id", "vec")
+    right = x.join(sizes, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), F.pmod(F.xxhash64("id"), "nx").cast("int").alias("xb"), "id", "vec")
+    cell = ["cluster", "qb", "xb"]
+    scored = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_best_of_cell(k), "query_id string, item string, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

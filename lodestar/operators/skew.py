@@ -30,7 +30,7 @@ def heavy_keys(df: DataFrame, keys: list[str], heavy_share: float = HEAVY_SHARE)
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     groups = keys[:-1]
-    total = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_total"))
+    total = counts.groupBy(*groups).agg(F.sum("_n").alias("_total"))  # from the counts: the table is not read again
     joined = counts.join(F.broadcast(total), groups) if groups else counts.crossJoin(F.broadcast(total))
     return (
         joined.filter(F.col(keys[-1]).isNotNull() & (F.col("_n") >= F.lit(heavy_share) * F.col("_total")))
@@ -129,7 +129,7 @@ def dominant_keys(reviews: DataFrame, share: float = 0.02) -> DataFrame:
         {"n_rows": F.sum("n")},
         F.coalesce("review_id", F.lit("")),
     )
-    total = reviews.agg(F.count(F.lit(1)).alias("total"))  # one row; every review counts once in either field
+    total = counted.filter(F.col("field") == "reviews.parent_asin").agg(F.sum("n_rows").alias("total"))  # one row; every review counts once in either field
     return (
         counted.crossJoin(F.broadcast(total))
         .filter(F.col("key_value").isNotNull() & (F.col("n_rows") >= F.lit(share) * F.col("total")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.columns import let
+from lodestar.functions.ranking import with_positions
 from lodestar.session import cut_lineage
 
 
@@ -40,8 +41,8 @@ def category_weights(products: DataFrame, reviews: DataFrame, max_features: int
     n_docs = products.join(written, "parent_asin", "left_semi").groupBy("leaf_category").agg(F.count(F.lit(1)).alias("n"))
     df = tf.groupBy("leaf_category", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     known = df.join(n_docs, "leaf_category").filter(F.col("df") >= F.when(F.col("n") < min_df, 1).otherwise(min_df))
-    top = Window.partitionBy("leaf_category").orderBy(F.col("total").desc(), "term")
-    vocabulary = known.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= max_features)
+    placed = with_positions(cut_lineage(known.withColumn("_down", -F.col("total"))), ["leaf_category"], "_down", ["term"])  # a category of any size
+    vocabulary = placed.filter(F.col("position") < max_features).drop("_down", "position", "group_rows")
     weighted = tf.join(vocabulary, ["leaf_category", "term"]).withColumn("raw", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     weighted = cut_lineage(weighted.select("leaf_category", "parent_asin", "term", "n", "raw"))
     lengths = weighted.groupBy("parent_asin").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))

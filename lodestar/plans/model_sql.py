@@ -208,11 +208,11 @@ def _words(c: str, words: list[str]) -> str:
 
 _EXPANDED = "list_concat(" + ", ".join(f"CASE WHEN regexp_matches(q, '(?i)\\b{k}\\b') THEN {v!r} ELSE CAST([] AS VARCHAR[]) END" for k, v in EXPANSIONS.items()) + ")"
 _ORDERED = "list_transform(list_filter(list_zip(e, range(1, len(e) + 1)), lambda p: list_position(e, p[1]) = p[2]), lambda p: p[1])"
-_QU = f"""WITH {META}, q AS (SELECT concat_ws(' ', title, description) AS q FROM meta_c), x AS (SELECT q, {_EXPANDED} AS e, {_words('q', INTENTS)} AS intent, {_words('q', ATTRIBUTES)} AS attributes FROM q),
+_QU = f"""WITH {META}, q AS (SELECT trim(concat_ws(' ', title, description)) AS q FROM meta_c), x AS (SELECT q, {_EXPANDED} AS e, {_words('q', INTENTS)} AS intent, {_words('q', ATTRIBUTES)} AS attributes FROM q),
 y AS (SELECT *, {_ORDERED} AS ex FROM x)
 SELECT q AS raw_query, intent, attributes, TRY_CAST(nullif(regexp_extract(q, '{MAX_PRICE}', 1), '') AS DOUBLE) AS max_price, TRY_CAST(nullif(regexp_extract(q, '{MIN_PRICE}', 1), '') AS DOUBLE) AS min_price,
   TRY_CAST(nullif(regexp_extract(q, '{APPROX_PRICE}', 1), '') AS DOUBLE) AS approx_price, CASE WHEN regexp_matches(q, '{LOW}') THEN 'low' WHEN regexp_matches(q, '{HIGH}') THEN 'high' END AS price_preference,
-  array_to_string(ex, ',') AS expanded, trim(concat_ws(' ', q, array_to_string(ex, ' '), replace(attributes, ',', ' '))) AS final_query FROM y"""
+  array_to_string(ex, ',') AS expanded, concat_ws(' ', q, nullif(array_to_string(ex, ' '), ''), nullif(replace(attributes, ',', ' '), '')) AS final_query FROM y"""
 
 SQL: dict[str, str] = {
     "user_interactions": f"WITH {_STATS} SELECT user_id, interaction_count, {nums('avg_rating_given', 'rating_std', 'first_interaction_ts', 'last_interaction_ts', 'active_days')}, {num('interaction_count / greatest(active_days, 1)', 'interaction_velocity')}, {num('recency_score')} FROM us",

@@ -93,7 +93,7 @@ def _candidates(spark, s):
     q, items = _table(spark, s, "queries"), _items(spark, s)
     unit = items.select("item", C.normalised(F.col("vec")).alias("vec"))
     key = ["split", "user_id", "query_parent_asin"]
-    found = retrieval.exact_top_k(q.select(F.to_json(F.struct(*key)).alias("query_id"), F.col("query_vec").alias("vec")), unit, s.top_k)
+    found = retrieval.ivf_top_k(q.select(F.to_json(F.struct(*key)).alias("query_id"), F.col("query_vec").alias("vec")), unit, s.top_k)
     r = found.select(F.from_json("query_id", "split string, user_id string, query_parent_asin string").alias("k"), F.col("item").alias("candidate_parent_asin"), F.col("score").alias("faiss_score"), F.col("rank").alias("faiss_rank")).select("k.*", "candidate_parent_asin", "faiss_score", "faiss_rank")
     of = lambda df, name: df.filter(F.col("split") == name).drop("split")
     return _by_split(lambda name: retrieval.candidates(of(r, name), of(q.select(*key, "label"), name), s.top_k))

@@ -169,7 +169,8 @@ def test_queries(spark):
     got = [r for r in documents.understand_queries(q).collect()]
     assert got[0].constraints.max_price == 20 and got[0].constraints.price_preference == "low" and "rpg" in got[0].intent
     assert got[1].constraints.min_price == 30 and got[2].constraints.approx_price == 50
-    assert got[3].constraints.price_preference == "high" and got[3].expanded == ["exploration", "sandbox"]
+    assert got[3].constraints.price_preference == "high" and got[3].expanded == ["sandbox", "exploration", "non-linear"] and got[3].intent == ["open world"] and got[3].attributes == ["premium"]
+    assert got[3].final_query == "premium open world sandbox exploration non-linear premium"
     assert got[4].final_query == "" and got[5].final_query == ""
 
 
