@@ -60,7 +60,7 @@ class Settings:
     embedding_version: str = "v2"
     min_reviews_per_user: int = 5
     min_reviews_per_item: int = 5
-    kcore_passes: int = 20
+    kcore_passes: int | None = None
     window_share: float = 0.10
     mid_start: float = 0.45
     mid_end: float = 0.55

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,19 +97,28 @@ def ablation(rows: DataFrame, features: list[str], scorer, configs: dict[str, li
     return m.crossJoin(F.broadcast(full)).withColumn("ndcg_10_change", F.when(F.col("_full") > 0, (F.col("ndcg_10") - F.col("_full")) / F.col("_full") * 100).otherwise(0.0)).drop("_full")
 
 
+#: Distribution function of Poisson(1), as far as a double tells it from 1.
+_POISSON = np.cumsum([np.exp(-1.0) / math.factorial(i) for i in range(19)])
+
+
 def bootstrap_std(per_query: DataFrame, metric: str = "ndcg_10", rounds: int = 1000, seed: int = 42) -> DataFrame:
     """Population standard deviation of the mean over Poisson(1) resamples of the queries.
 
-    Each query draws its ``rounds`` weights from a generator seeded by its ids, inside one pass; a task gives ``rounds`` partial sums whatever its number of queries.
+    Weight and round of a query are a hash of its ids and the round, turned into a Poisson draw by inversion, whole batches at a time; a task gives ``rounds`` partial sums whatever its number of queries.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, weights = np.zeros(rounds), np.zeros(rounds)
+        number = np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            for h, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w = np.random.default_rng(h & 0xFFFFFFFFFFFFFFFF).poisson(1.0, rounds)
-                sums += w * v
-                weights += w
+            h, v = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            for at in range(0, len(h), 256):
+                x = h[at : at + 256, None] + number
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                w = np.searchsorted(_POISSON, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53), side="right")
+                sums += v[at : at + 256] @ w
+                weights += w.sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds, dtype=np.int32)), pa.array(sums), pa.array(weights)], names=["round", "s", "w"])
 
     keyed = per_query.select(F.xxhash64(*QUERY, F.lit(seed)).alias("h"), F.col(metric).cast("double").alias("v")).dropna()
@@ -121,3 +131,9 @@ def compare_versions(first: DataFrame, second: DataFrame) -> DataFrame:
     long = lambda m, n: m.select("system", F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x).alias(n)) for x in METRICS])).alias("e")).select("system", "e.*")
     both = long(first, "first").join(long(second, "second"), ["system", "metric"])
     return both.withColumn("change", F.when(F.col("first") > 0, (F.col("second") - F.col("first")) / F.col("first") * 100).otherwise(0.0))
+
+
+def compare_query_versions(first: DataFrame, second: DataFrame, metric: str = "ndcg_10") -> DataFrame:
+    """(user_id, query_parent_asin, first, second, change) of the queries that both per-query metric frames have."""
+    both = first.select(*QUERY, F.col(metric).alias("first")).join(second.select(*QUERY, F.col(metric).alias("second")), QUERY)
+    return both.withColumn("change", F.col("second") - F.col("first"))

@@ -6,6 +6,7 @@ regression tree on the gradients, and sets its leaves by a Newton step from a gr
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,28 +24,87 @@ TRAINED = [f for f in FEATURES if not f.startswith("f27")]
 GAIN = {0: 0.0, 1: 1.0, 2: 3.0, 3: 7.0, 4: 15.0, 5: 31.0}
 
 
+def tree_rows(tree, number: int, leaves: dict[float, float]) -> list[tuple]:
+    """(tree, node, feature, threshold, left, right, value) of every node of a fitted tree, in depth-first order; leaves have feature -1 and carry their Newton value."""
+    rows: list[list] = []
+    seen = 0
+
+    def visit(node) -> int:
+        nonlocal seen
+        at = len(rows)
+        if node.subtreeDepth() == 0:
+            rows.append([number, at, -1, 0.0, -1, -1, float(leaves.get(float(seen), 0.0))])
+            seen += 1
+            return at
+        split = node.split()
+        rows.append([number, at, int(split.featureIndex()), float(split.threshold()), 0, 0, 0.0])
+        rows[at][4], rows[at][5] = visit(node.leftChild()), visit(node.rightChild())
+        return at
+
+    visit(tree._java_obj.rootNode())
+    return [tuple(r) for r in rows]
+
+
+NODES = "tree int, node int, feature int, threshold double, left int, right int, value double"
+
+
 @dataclass
 class Ranker:
-    """Trees with Newton leaf values; ``score`` adds them up."""
+    """Trees as node tables with Newton leaf values; ``score`` adds them up, all trees in one pass over Arrow batches."""
 
     features: list[str]
     learning_rate: float
-    trees: list = field(default_factory=list)
-    leaves: list[dict[float, float]] = field(default_factory=list)
+    nodes: list[list[tuple]] = field(default_factory=list)
+    gains: list[np.ndarray] = field(default_factory=list)
     history: list[dict] = field(default_factory=list)
 
     def score(self, rows: DataFrame, name: str = "score") -> DataFrame:
-        out = VectorAssembler(inputCols=self.features, outputCol="_x", handleInvalid="keep").transform(rows.fillna(0.0, self.features)).withColumn(name, F.lit(0.0))
-        for tree, leaves in zip(self.trees, self.leaves):
-            out = tree.transform(out).withColumn(name, F.col(name) + _leaf_value(leaves, "_leaf") * self.learning_rate).drop("_leaf", "_p")
-        return out.drop("_x")
+        """Adds the model's score; null and NaN features count 0."""
+        trees = [tuple(np.array(c) for c in list(zip(*t))[2:]) for t in self.nodes]
+        rate, width = self.learning_rate, len(self.features)
+
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for xs in batches:
+                x = np.nan_to_num(np.stack(xs.to_numpy()).astype(np.float64)) if len(xs) else np.zeros((0, width))
+                total, every = np.zeros(len(x)), np.arange(len(x))
+                for feature, threshold, left, right, value in trees:
+                    at = np.zeros(len(x), np.int64)
+                    while (inner := feature[at] >= 0).any():
+                        go = np.where(x[every, np.maximum(feature[at], 0)] <= threshold[at], left[at], right[at])
+                        at = np.where(inner, go, at)
+                    total += rate * value[at]
+                yield pd.Series(total)
+
+        scored = F.pandas_udf(run, "double")
+        return rows.withColumn(name, scored(F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in self.features])))
 
     def importance(self, spark) -> DataFrame:
         """(feature, importance) summed over trees, scaled to 1."""
-        total = np.sum([t.featureImportances.toArray() for t in self.trees], axis=0) if self.trees else np.zeros(len(self.features))
+        total = np.sum(self.gains, axis=0) if self.gains else np.zeros(len(self.features))
         total = total / total.sum() if total.sum() > 0 else total
         return spark.createDataFrame([(f, float(v)) for f, v in zip(self.features, total)], "feature string, importance double")
 
+    def by_group(self, spark, groups: dict[str, list[str]]) -> DataFrame:
+        """(group, importance): the importance of the features of each group added up."""
+        pairs = spark.createDataFrame([(g, f) for g, fs in groups.items() for f in fs], "group string, feature string")
+        return pairs.join(self.importance(spark), "feature", "left").groupBy("group").agg(F.coalesce(F.sum("importance"), F.lit(0.0)).alias("importance"))
+
+    def save(self, spark, path: str) -> None:
+        """Write the model as two small Parquet tables under ``path``: nodes, and features with their gains per tree."""
+        spark.createDataFrame([r for t in self.nodes for r in t], NODES).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+        rows = [(i, f, self.learning_rate, [float(g[i]) for g in self.gains]) for i, f in enumerate(self.features)]
+        spark.createDataFrame(rows, "place int, feature string, learning_rate double, gains array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
+
+    @classmethod
+    def load(cls, spark, path: str) -> Ranker:
+        """A model written by ``save``; a missing part raises."""
+        rows = spark.read.parquet(f"{path}/features").orderBy("place").collect()
+        trees: dict[int, list[tuple]] = {}
+        for r in spark.read.parquet(f"{path}/nodes").orderBy("tree", "node").collect():
+            trees.setdefault(r.tree, []).append(tuple(r))
+        gains = np.array([r.gains for r in rows]).T if rows and len(rows[0].gains) else []
+        return cls([r.feature for r in rows], rows[0].learning_rate, [trees[i] for i in sorted(trees)], list(gains))
+
 
 def _leaf_value(leaves: dict[float, float], leaf: str) -> Column:
     table = F.create_map(*[F.lit(x) for k, v in leaves.items() for x in (float(k), float(v))]) if leaves else None
@@ -91,8 +151,8 @@ def train(rows: DataFrame, valid: DataFrame | None = None, features: list[str] |
         placed = tree.transform(fit)
         sums = placed.groupBy("_leaf").agg(F.sum("_lambda").alias("g"), F.sum("_weight").alias("w")).collect()  # at most 2 ** depth rows
         leaves = {float(r["_leaf"]): float(r["g"] / (r["w"] + 1e-9)) if r["w"] > 1e-12 else 0.0 for r in sums}
-        model.trees.append(tree)
-        model.leaves.append(leaves)
+        model.nodes.append(tree_rows(tree, number, leaves))
+        model.gains.append(tree.featureImportances.toArray())
         state = cut_lineage(placed.withColumn("score", F.col("score") + _leaf_value(leaves, "_leaf") * learning_rate).select(*state.columns))
         if valid is not None:
             held = cut_lineage(tree.transform(held).withColumn("score", F.col("score") + _leaf_value(leaves, "_leaf") * learning_rate).select(*held.columns))
@@ -102,7 +162,7 @@ def train(rows: DataFrame, valid: DataFrame | None = None, features: list[str] |
             if since >= patience:
                 break
     if since:
-        model.trees, model.leaves = model.trees[:-since], model.leaves[:-since]
+        model.nodes, model.gains = model.nodes[:-since], model.gains[:-since]
     return model
 
 

@@ -150,6 +150,33 @@ def ivf_top_k(queries: DataFrame, items: DataFrame, k: int, nlist: int | None =
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def fetch_vector(items: DataFrame, item: str) -> list[float] | None:
+    """The vector of one item; None if it is not there. The condition reaches the scan of a stored index."""
+    row = items.filter(F.col("item") == item).select("vec").first()
+    return None if row is None else list(row["vec"])
+
+
+def total(items: DataFrame) -> int:
+    """Number of vectors of an index."""
+    return items.count()
+
+
+def latency_check(items: DataFrame, vectors: list[list[float]], k: int, limit_ms: float | None = None) -> dict:
+    """Milliseconds of single-vector searches (the first warms up and is left out) and whether every one found ``k`` items; over ``limit_ms`` raises."""
+    import time
+
+    took, full = [], True
+    for v in vectors:
+        began = time.perf_counter()
+        full &= len(top_k_single(items, v, k).collect()) == k
+        took.append((time.perf_counter() - began) * 1000)
+    took = took[1:] or took
+    out = {"searches": len(took), "mean_ms": float(np.mean(took)) if took else 0.0, "max_ms": float(np.max(took)) if took else 0.0, "full": full}
+    if limit_ms is not None and out["mean_ms"] > limit_ms:
+        raise RuntimeError(f"a search takes {out['mean_ms']:.1f} ms, more than {limit_ms}")
+    return out
+
+
 def recall_at_k(found: DataFrame, exact: DataFrame) -> DataFrame:
     """(n_queries, recall): share of the rows of ``exact`` (query_id, item) that ``found`` has."""
     hit = exact.select("query_id", "item").join(found.select("query_id", "item", F.lit(1).alias("_hit")), ["query_id", "item"], "left")

@@ -255,6 +255,25 @@ def user_report(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", "query_parent_asin", F.array_join("top_by_retrieval", ",").alias("top_by_retrieval"), F.array_join("top_by_model", ",").alias("top_by_model"), "truth_rank_retrieval", "truth_rank_model", "in_top10_retrieval", "in_top10_model")
 
 
+def user_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Title and largest features of the model's first candidate of every query."""
+    t = Tables(spark, d)
+    rows = _labelled(t).withColumn("score", F.round(_linear({c: F.col(c) for c in features.FEATURES}), 6))
+    out = reports.user_report(rows, features.FEATURES, titles=t.meta().select("parent_asin", "title"))
+    return out.select("user_id", "query_parent_asin", F.element_at("top_by_model", 1).alias("first_title"), F.array_join("reasons", ",").alias("reasons"))
+
+
+def query_version_comparison(spark: SparkSession, d: str) -> DataFrame:
+    rows = _labelled(Tables(spark, d))
+    first, second = (evaluation.query_metrics(rows, c) for c in ("f01_faiss_score", "f31_bm25_score"))
+    return rounded(evaluation.compare_query_versions(first, second))
+
+
+def recent_history(spark: SparkSession, d: str) -> DataFrame:
+    """The ten latest interactions of every user."""
+    return interactions.last_items(Tables(spark, d).reviews(), 10).withColumn("place", F.col("place").cast("long"))
+
+
 def product_comparison(spark: SparkSession, d: str) -> DataFrame:
     p = Tables(spark, d).products()
     ids = [r[0] for r in p.select("parent_asin").orderBy("parent_asin").limit(3).collect()]
@@ -299,6 +318,6 @@ QUERIES = {
     for f in (
         user_interactions, user_preferences, user_review_signals, user_vectors, cold_start_tiers, tier_distribution, profile_table, lambda_diagnostic, blended_queries, vector_norms, norm_check, exact_topk, single_query_topk,
         self_recall, ivf_topk, ivf_recall, home_feed, candidates_forced, features_wide, feature_stats, features_scaled, feature_nulls, query_metrics, query_counts, system_comparison, relative_improvement, version_comparison, ablation_metrics,
-        bootstrap_std, lambdamart_rerank, cold_start_boost, diverse_users, user_report, product_comparison, rich_docs, token_statistics, voice_docs, query_understanding, text_vectors, search_text,
+        bootstrap_std, lambdamart_rerank, cold_start_boost, diverse_users, user_report, user_reasons, query_version_comparison, recent_history, product_comparison, rich_docs, token_statistics, voice_docs, query_understanding, text_vectors, search_text,
     )
 }

@@ -244,6 +244,13 @@ SQL: dict[str, str] = {
     "ablation_metrics": f"WITH {_LAB}, {_systems({n: _linear(z) for n, z in ABLATIONS.items()}, 'config')}, {_metrics('sy', 'config, ')}, {_macro('config')} SELECT a.config, {', '.join(f'round(a.{m}, 4) + 0.0::DOUBLE AS {m}' for m in [*_METRIC, 'ndcg_10_std'])}, a.evaluated_queries, round({_CHANGE('ndcg_10')}, 4) + 0.0::DOUBLE AS ndcg_10_change FROM mc a, (SELECT * FROM mc WHERE config = 'full') b",
     "cold_start_boost": _BOOST,
     "diverse_users": _DIVERSE,
+    "user_reasons": f"""WITH {META}, {_LAB}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, query_parent_asin ORDER BY {_linear([])} DESC, candidate_parent_asin) AS m FROM lab),
+t AS (SELECT r.*, coalesce(title, candidate_parent_asin) AS first_title FROM r LEFT JOIN meta_c ON meta_c.parent_asin = candidate_parent_asin WHERE m = 1),
+u AS ({" UNION ALL ".join(f"SELECT user_id, query_parent_asin, first_title, '{f}' AS f, coalesce({f}, 0) AS v FROM t" for f in FEATURES)}),
+k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY user_id, query_parent_asin ORDER BY v DESC, f) <= 5)
+SELECT user_id, query_parent_asin, first_title, string_agg(f, ',' ORDER BY v DESC, f) AS reasons FROM k GROUP BY ALL""",
+    "query_version_comparison": f"WITH {_LAB}, {_systems({'second': 'f31_bm25_score', 'first': 'f01_faiss_score'})}, {_metrics('sy', 'system, ')} SELECT a.user_id, a.query_parent_asin, {num('a.ndcg_10', 'first')}, {num('b.ndcg_10', 'second')}, {num('b.ndcg_10 - a.ndcg_10', 'change')} FROM pq a JOIN pq b ON a.user_id = b.user_id AND a.query_parent_asin = b.query_parent_asin WHERE a.system = 'first' AND b.system = 'second'",
+    "recent_history": f"WITH {REVIEWS} SELECT user_id, parent_asin, rating, row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC NULLS LAST, parent_asin DESC) AS place FROM revc QUALIFY place <= 10",
     "user_report": f"""WITH {_LAB}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, query_parent_asin ORDER BY f01_faiss_score DESC NULLS LAST, candidate_parent_asin) AS a, row_number() OVER (PARTITION BY user_id, query_parent_asin ORDER BY {_linear([])} DESC, candidate_parent_asin) AS m FROM lab)
 SELECT user_id, query_parent_asin, string_agg(candidate_parent_asin, ',' ORDER BY a) FILTER (WHERE a <= 5) AS top_by_retrieval, string_agg(candidate_parent_asin, ',' ORDER BY m) FILTER (WHERE m <= 5) AS top_by_model,
   CAST(min(a) FILTER (WHERE relevance_label > 0) AS INTEGER) AS truth_rank_retrieval, CAST(min(m) FILTER (WHERE relevance_label > 0) AS INTEGER) AS truth_rank_model, coalesce(min(a) FILTER (WHERE relevance_label > 0) <= 10, false) AS in_top10_retrieval, coalesce(min(m) FILTER (WHERE relevance_label > 0) <= 10, false) AS in_top10_model FROM r GROUP BY ALL""",

@@ -135,6 +135,7 @@ def _metrics(spark, s):
     rows = _table(spark, s, "features")
     of = lambda name: rows.filter(F.col("split") == name).drop("split")
     model = ranker.train(of("train"), of("valid"), rounds=s.rounds, depth=s.depth, patience=s.patience)
+    model.save(spark, s.path("ranker"))
     test = model.score(of("test"), "model_score")
     systems = {"random": evaluation.random_score("user_id", "query_parent_asin", "candidate_parent_asin"), "bm25": F.col("f31_bm25_score"), "ann": F.col("f01_faiss_score"), "model": F.col("model_score")}
     return evaluation.compare_systems(test, systems)
@@ -159,6 +160,7 @@ def run(spark: SparkSession, s: Settings, until: str | None = None, force: bool
         if force or not readers.exists(spark, f"{s.path(stage.output)}/_SUCCESS"):
             sinks.write_table(stage.run(spark, s), s.path(stage.output))
             ran.append(stage.name)
+            sinks.write_progress(s.path("progress.txt"), {name: done for name, _, done in status(spark, s)})
         if stage.output == until:
             break
     return ran

@@ -85,6 +85,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(conf).exists(p))
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    """Remove a path, if it exists, from the file system it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Replace a small file in the file system its path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def read_vectors_if_any(spark: SparkSession, path: str, dimension: int, id_column: str = "user_id") -> DataFrame | None:
     return read_vectors(spark, path, dimension, id_column) if exists(spark, path) else None
 

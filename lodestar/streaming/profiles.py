@@ -49,15 +49,23 @@ def profile(state: DataFrame) -> DataFrame:
     return state.select("user_id", "n_events", (F.col("total_value") / F.col("n_events")).alias("mean_value"), F.try_divide("weighted_sum", "weight_sum").alias("recent_mean_value"), "last_ts")
 
 
+KEPT_VERSIONS = 3
+
+
 def keep_state(events: DataFrame, path: str, checkpoint: str):
-    """Start a query that folds every micro-batch into the state table under ``path`` (one folder per version; the batch id makes a repeated batch harmless)."""
+    """Start a query that folds every micro-batch into the state table under ``path`` (one folder per version; the batch id makes a repeated batch harmless).
+
+    A batch whose predecessor's version is missing fails instead of starting from nothing. The last ``KEPT_VERSIONS`` versions are kept, so that a repeated batch finds the one before it.
+    """
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark, fresh = batch.sparkSession, user_state(batch)
-        from lodestar.sources.readers import exists
+        from lodestar.sources.readers import exists, remove
 
-        before = f"{path}/{number - 1}"
-        merged = merge_states(spark.read.parquet(before), fresh) if exists(spark, before) else fresh
+        spark, fresh = batch.sparkSession, user_state(batch)
+        if number > 0 and not exists(spark, f"{path}/{number - 1}/_SUCCESS"):
+            raise RuntimeError(f"the state before batch {number} is missing under {path}")
+        merged = merge_states(spark.read.parquet(f"{path}/{number - 1}"), fresh) if number > 0 else fresh
         merged.write.mode("overwrite").parquet(f"{path}/{number}")
+        remove(spark, f"{path}/{number - KEPT_VERSIONS}")
 
     return events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).outputMode("append").start()
