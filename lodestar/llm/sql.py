@@ -64,7 +64,32 @@ def _list_cases(column: str) -> str:
     SELECT 'products_nlp.{column}' AS field, parent_asin, term FROM pairs SEMI JOIN few USING (term))"""
 
 
+def _nearest(name: str, table: str, key: str, column: str) -> str:
+    """Exact nearest vectors of one set: id, other, cosine, place."""
+    return f"""(WITH r AS (SELECT trim({key}) AS id, {column} AS v FROM {table} WHERE trim({key}) <> '' AND len({column}) = 64
+  AND len(list_filter({column}, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter({column}, lambda x: x <> 0)) > 0),
+u AS (SELECT id, max(v)::DOUBLE[] AS v FROM r GROUP BY id),
+p AS (SELECT a.id, b.id AS other, round(list_cosine_similarity(a.v, b.v), 9) AS cosine FROM u a, u b WHERE a.id <> b.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, other) AS place FROM p WHERE cosine >= 0.85 QUALIFY place <= 5)
+SELECT '{name}' AS vec_set, id, other, cosine, CAST(place AS INTEGER) AS place FROM k)"""
+
+
+_NEAREST = f"near AS ({_nearest('item', 'item_embeddings', 'parent_asin', 'embedding')} UNION ALL {_nearest('user', 'user_profiles', 'user_id', 'combined_embedding')})"
+
+_EDITED = """
+texts AS (SELECT 'reviews.text' AS field, review_id AS id, text FROM reviews WHERE text IS NOT NULL
+  UNION ALL SELECT 'meta_clean.description', trim(parent_asin), max(description) FROM meta_clean WHERE trim(parent_asin) <> '' AND description IS NOT NULL GROUP BY ALL),
+cut AS (SELECT field, id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM texts),
+runs AS (SELECT DISTINCT field, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM cut WHERE len(w) >= 40),
+size AS (SELECT field, id, count(*) AS n FROM runs GROUP BY ALL),
+shared AS (SELECT a.field, a.id AS id_a, b.id AS id_b, count(*) AS c FROM runs a JOIN runs b ON a.field = b.field AND a.g = b.g AND a.id < b.id GROUP BY ALL)"""
+
+
 SQL: dict[str, str] = {
+    "p2_found": f"WITH {_NEAREST} SELECT DISTINCT vec_set, least(id, other) AS id_a, greatest(id, other) AS id_b FROM near",
+    "p2_nearest": f"WITH {_NEAREST} SELECT * FROM near",
+    "p4_found": f"""WITH {_EDITED} SELECT shared.field, id_a, id_b FROM shared JOIN size x ON x.field = shared.field AND x.id = id_a JOIN size y ON y.field = shared.field AND y.id = id_b
+WHERE c >= 0.5 * (x.n + y.n - c)""",
     "p3_found": f"""WITH {_WORDS}, g AS (SELECT parent_asin, term, count(*) AS n FROM words GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER (PARTITION BY term) AS total FROM g)
 SELECT 'reviews.text' AS field, parent_asin, term FROM c WHERE parent_asin IS NOT NULL AND n >= 5 AND n >= 0.75 * total
