@@ -96,3 +96,35 @@ def test_reports_go_to_the_file_system_of_their_path(spark, tmp_path):
     assert readers.exists(spark, path) and readers.remove(spark, path) and not readers.exists(spark, path)
     text = reports.metrics_text(spark.createDataFrame([("ann", *[0.5] * 8)], "system string, " + ", ".join(f"{m} double" for m in evaluation.METRICS)))
     assert "ann" in text and "0.5000" in text
+
+
+def test_histories_by_blocks(spark):
+    rows = [("u", f"i{i % 7}" if i % 5 else None, i % 11 or None) for i in range(40)] + [("v", None, 1), ("v", None, 2), ("v", "é", 3), ("v", "", 4), ("v", "b", 5), (None, "a", 2), (None, "b", 1), ("w", "a", 1)]
+    df = spark.createDataFrame(rows, "user_id string, parent_asin string, timestamp int")
+    want = []
+    for user in {r[0] for r in rows}:
+        seen = []
+        for r in sorted((r for r in rows if r[0] == user), key=lambda r: (r[2] is None, r[2] or 0, r[1] is not None, r[1] or "")):
+            want.append((*r, " ".join(seen)))
+            seen += [r[1]] if r[1] is not None else []
+    for n in (1, 3, 2048):
+        got = [tuple(r) for r in interactions.prefix_history(df, block_rows=n).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_histories_of_a_hot_user_are_spread(spark):
+    n = 9000
+    df = spark.range(n).select(F.lit("u").alias("user_id"), F.format_string("V%09d", "id").alias("parent_asin"), F.col("id").alias("timestamp"))
+    h = interactions.prefix_history(df).select(F.spark_partition_id().alias("p"), F.length("history").alias("n")).groupBy("p").agg(F.sum("n").alias("n")).collect()
+    assert len(h) > 1 and sum(r.n for r in h) == sum(11 * i - 1 for i in range(1, n))
+
+
+def test_written_histories_grow_with_the_rows(spark, tmp_path):
+    import __spark_entry__
+
+    h = __spark_entry__.queries()["prefix_history"](spark, "/root/testdata/sf0.01")
+    h.write.parquet(str(tmp_path / "h"))
+    back = spark.read.parquet(str(tmp_path / "h"))
+    text = back.agg(F.sum(F.octet_length("history"))).first()[0]
+    assert sum(f.stat().st_size for f in (tmp_path / "h").glob("*.parquet")) < text / 4
+    assert back.exceptAll(h).count() == 0 and back.count() == h.count()
