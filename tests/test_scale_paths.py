@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import ranking
-from lodestar.operators import evaluation, interactions, ranker, reports, retrieval
+from lodestar.operators import evaluation, interactions, ranker, reports, retrieval, tfidf
 from lodestar.sources import readers, sinks
 
 
@@ -128,3 +128,42 @@ def test_written_histories_grow_with_the_rows(spark, tmp_path):
     text = back.agg(F.sum(F.octet_length("history"))).first()[0]
     assert sum(f.stat().st_size for f in (tmp_path / "h").glob("*.parquet")) < text / 4
     assert back.exceptAll(h).count() == 0 and back.count() == h.count()
+
+
+def texts(n, seed):
+    rng = np.random.default_rng(seed)
+    return [" ".join(f"w{x}" for x in rng.integers(0, 12, rng.integers(0, 6))) for _ in range(n)]
+
+
+def test_bm25_by_blocks(spark, monkeypatch):
+    docs = [(f"d{i:02d}", t) for i, t in enumerate(texts(40, 1))] + [("none", None), ("copy", "w1 w2"), ("copy", "w1")]
+    asked = [(f"q{i:02d}", t) for i, t in enumerate(texts(25, 2))] + [("none", None), ("other", "zz"), ("both", "w1 zz"), ("both", "w1 w3"), (None, "w1")]
+    tf = {}
+    for d, t in docs:
+        for w in (t or "").split():
+            tf.setdefault(d, {}).setdefault(w, 0)
+            tf[d][w] += 1
+    length = {d: sum(v.values()) for d, v in tf.items()}
+    mean, want = sum(length.values()) / len(length), {}
+    words = {q: {w for name, t in asked if name == q for w in (t or "").split()} for q, _ in asked if q}
+    for q, some in words.items():
+        for d, has in tf.items():
+            if hit := some & set(has):
+                df = {w: sum(w in v for v in tf.values()) for w in hit}
+                want[q, d] = sum(np.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * has[w] * 2.5 / (has[w] + 1.5 * (0.25 + 0.75 * length[d] / mean)) for w in hit)
+    best = {q: max(v for (n, _), v in want.items() if n == q) for q, _ in want}
+    df_q, df_d = (spark.createDataFrame(x, f"{k} string, text string") for x, k in ((asked, "query_id"), (docs, "doc_id")))
+    for sizes in ((4096, 50_000, 256, 100_000), (3, 7, 1, 5)):
+        for name, n in zip(("BLOCK_QUERIES", "BLOCK_DOCUMENTS", "LEAST_QUERIES", "BATCH_SCORES"), sizes, strict=True):
+            monkeypatch.setattr(tfidf, name, n)
+        got = tfidf.bm25(df_q, df_d).collect()
+        assert len(got) == len(want) and {(r.query_id, r.doc_id) for r in got} == set(want)
+        assert all(abs(r.bm25 - want[r.query_id, r.doc_id]) < 2e-6 and abs(r.bm25_scaled - want[r.query_id, r.doc_id] / best[r.query_id]) < 2e-6 for r in got)
+    assert tfidf.bm25(df_q.limit(0), df_d).count() == tfidf.bm25(df_q, df_d.limit(0)).count() == 0
+
+
+def test_bm25_scores_are_not_shuffled(spark):
+    rows = spark.range(300).select(F.format_string("d%03d", "id").alias("doc_id"), F.concat(F.lit("red fox "), F.col("id").cast("string")).alias("text"))
+    out = tfidf.bm25(rows.withColumnRenamed("doc_id", "query_id"), rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()  # every exchange is below the step that makes the scores
+    assert out.count() == 300 * 300 and "Exchange" not in plan[: plan.index("MapInArrow")]
