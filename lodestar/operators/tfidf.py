@@ -68,7 +68,7 @@ def category_terms(products: DataFrame, reviews: DataFrame, max_features: int =
 
 
 #: Queries and documents that one task scores at most (about, as they are dealt by hash); queries in a block at least, if it's cut further to keep the cores busy.
-BLOCK_QUERIES, BLOCK_DOCUMENTS, LEAST_QUERIES = 4096, 50_000, 256
+BLOCK_QUERIES, BLOCK_DOCUMENTS, LEAST_QUERIES = 8192, 50_000, 256
 #: Scores in a batch that goes back to Spark.
 BATCH_SCORES = 100_000
 
